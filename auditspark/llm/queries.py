@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash
+from . import fmindex, minhash
 from .storage import read
 
 #: op1 links three-word shingle sets at 85 hundredths.
@@ -18,9 +18,16 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, read(spark, sf_dir, "documents"), OP1)
 
 
+def op3_fmindex_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = fmindex.contamination(spark, docs, read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
+        "op3_fmindex_decontamination": op3_fmindex_decontamination,
     }
 
 
@@ -48,5 +55,28 @@ JOIN (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id) c ON c.d
 """ % _LOWER.format("text")  # noqa: UP031  the pattern holds braces
 
 
+_OP3 = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(%s, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(%s, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS size, unnest(list_transform(range(1, greatest(2, len(w) - 8)),
+    lambda i: array_to_string(w[i:i + 9], ' '))) AS win FROM b WHERE len(w) > 0
+), sizes AS (SELECT DISTINCT size FROM bw
+), dw AS (
+  SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS pos,
+    unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS win
+  FROM d, sizes WHERE len(w) >= size
+), m AS (SELECT doc_id, pos, dw.size, item_id FROM dw JOIN bw ON dw.win = bw.win AND dw.size = bw.size
+), h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS p FROM m) GROUP BY doc_id
+), i AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(coalesce(w, []))::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id
+""" % (_LOWER.format("text"), _LOWER.format("text"))  # noqa: UP031
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_dedup": _OP1}
+    return {"op1_minhash_dedup": _OP1, "op3_fmindex_decontamination": _OP3}
