@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fmindex, minhash, quality_rules
+from . import fmindex, minhash, packing, quality_rules
 from .storage import read
 
 #: op1 links three-word shingle sets at 85 hundredths.
@@ -18,6 +18,17 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, read(spark, sf_dir, "documents"), OP1)
 
 
+def tokenizer_path() -> str:
+    """The tokenizer of op2, from the installed vocabulary files."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(spark, read(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op3_fmindex_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = fmindex.contamination(spark, docs, read(spark, sf_dir, "benchmark"))
@@ -33,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
         "op4_mcd_quality_rules": op4_mcd_quality_rules,
+        "op2_bestfit_packing": op2_bestfit_packing,
         "op3_fmindex_decontamination": op3_fmindex_decontamination,
     }
 
