@@ -8,9 +8,12 @@ the full shingle sets.
 Scale: documents with the same shingle set are folded into one node before anything
 is compared. Within a band bucket, members are held against one pivot at a time (a
 star, linear in the bucket), components are contracted, and only buckets that still
-hold several components go on. When the pairs left are few, or the pivot rounds are
-used up, all of them are tested, so no link is lost to a limit. Hubs are joined
-through shuffles whose skewed partitions Spark splits.
+hold several components go on. When the pairs left are at most ``PAIRS_A_ROW`` for
+each bucket row, or the pivot rounds are used up, all of them are met in one join, so
+no link is lost to a limit. That join drops, before it makes a row, each pair whose
+parity sketches differ in more bits than the sets may differ in members; a member of
+one set alone flips one bit, so no link can be dropped. Hubs are joined through
+shuffles whose skewed partitions Spark splits.
 
 Edge cases: a null or wordless text has an empty set and is linked with nothing; a
 text of fewer words than a shingle has one shingle, the whole sequence; a null id is
@@ -30,8 +33,13 @@ from pyspark.sql import functions as F
 from . import bytetext as B
 from .storage import Scratch
 
+#: Longs of a parity sketch.
+SKETCH = 16
+#: Pairs for each bucket row up to which those left are met at once.
+PAIRS_A_ROW = 256
+
 _FEATURES = "id long, n long, fp1 long, fp2 long, bands array<long>"
-_SETS = "id long, fp1 long, fp2 long, shingles array<long>"
+_SETS = "id long, fp1 long, fp2 long, shingles array<long>, sketch array<long>"
 
 
 @dataclass(frozen=True)
@@ -131,8 +139,15 @@ def features(docs: DataFrame, p: MinMaxHash) -> DataFrame:
     return docs.mapInArrow(run, _FEATURES)
 
 
+def _parity(h: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """For each document, 64 * SKETCH bits: bit b is the parity of its hashes that fall on b."""
+    bits = 64 * SKETCH
+    odd = np.bincount(doc * bits + (h % np.uint64(bits)).astype(np.int64), minlength=n * bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
 def shingle_sets(docs: DataFrame, p: MinMaxHash) -> DataFrame:
-    """id, fingerprints and the distinct shingle hashes of every row of (id, text)."""
+    """id, fingerprints, the distinct shingle hashes and their parity sketch of every row of (id, text)."""
 
     def run(batches):
         for batch in B.small_batches(batches):
@@ -141,7 +156,8 @@ def shingle_sets(docs: DataFrame, p: MinMaxHash) -> DataFrame:
                 h, doc = shingle_hashes(c, p.words)
                 keep = distinct_in_document(h, doc)
                 n, fp1, fp2 = _fingerprints(h, doc, c.n)
-                yield pa.RecordBatch.from_arrays([ids.slice(c.first, c.n), pa.array(_signed(fp1)), pa.array(_signed(fp2)), _list(h[keep], n)], names=["id", "fp1", "fp2", "shingles"])
+                sketch = _parity(h[keep], doc[keep], c.n)
+                yield pa.RecordBatch.from_arrays([ids.slice(c.first, c.n), pa.array(_signed(fp1)), pa.array(_signed(fp2)), _list(h[keep], n), _list(sketch, np.full(c.n, SKETCH))], names=["id", "fp1", "fp2", "shingles", "sketch"])
 
     return docs.mapInArrow(run, _SETS)
 
@@ -195,7 +211,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: MinMaxHash, id_col:
     buckets = scratch.save(banded.join(shared, "key"))
     members = buckets.select("id").distinct()
     sets = shingle_sets(given.join(members, "id", "left_semi"), p).join(nodes.select("id", "fp1", "fp2"), ["id", "fp1", "fp2"], "left_semi").dropDuplicates(["id"])
-    sets = scratch.save(sets.select("id", "shingles"))
+    sets = scratch.save(sets.select("id", "shingles", "sketch"))
+    sketches = sets.select("id", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)))
 
     edges = spark.createDataFrame([], "a long, b long")
     tested = edges
@@ -209,11 +226,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: MinMaxHash, id_col:
         left, pairs_left = by_key.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()
         if not left:
             break
-        last = turn == p.pivot_rounds or pairs_left <= 2 * left
-        x = at.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), "key")
+        last = turn and (turn == p.pivot_rounds or pairs_left <= PAIRS_A_ROW * left)
         if last:
-            pairs = x.join(at, "key").where("ca <> c and a < id")
+            met = at.join(sketches, "id")
+            x = met.select(*(F.col(c).alias(f"{c}_a") for c in met.columns))
+            differ = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}"))) for i in range(SKETCH)), F.lit(0))
+            # |A xor B| is at most this share of |A| + |B| where the similarity is reached.
+            near = (200 - (100 - p.percent)) * differ <= (100 - p.percent) * (F.col("n_a") + F.col("n"))
+            pairs = x.join(met, (F.col("key_a") == F.col("key")) & (F.col("c_a") != F.col("c")) & (F.col("id_a") < F.col("id")) & near)
+            pairs = pairs.select(F.col("id_a").alias("a"), F.col("n_a").alias("na"), "id", "n")
         else:
+            x = at.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), "key")
             order = F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.col("id"), F.col("id"))
             pivot = at.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("id"), F.col("n"), F.col("c"))).alias("p"))
             pairs = x.join(pivot.select("key", "p.id", "p.n", "p.c"), "key").where("ca <> c")
