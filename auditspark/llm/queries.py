@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fmindex, minhash, packing, quality_rules
+from . import fmindex, minhash, packing, quality_rules, suffix_dedup
 from .storage import read
 
 #: op1 links three-word shingle sets at 85 hundredths.
@@ -40,11 +40,17 @@ def op4_mcd_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.deduplicated(spark, read(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
         "op4_mcd_quality_rules": op4_mcd_quality_rules,
         "op2_bestfit_packing": op2_bestfit_packing,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op3_fmindex_decontamination": op3_fmindex_decontamination,
     }
 
