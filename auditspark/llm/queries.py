@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fmindex, minhash, packing, quality_rules, suffix_dedup
+from . import fmindex, line_quality, minhash, packing, quality_rules, suffix_dedup, toxicity
 from .storage import read
 
 #: op1 links three-word shingle sets at 85 hundredths.
@@ -45,12 +45,23 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def op6_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.scored(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+def op8_crf_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.judged(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
         "op4_mcd_quality_rules": op4_mcd_quality_rules,
         "op2_bestfit_packing": op2_bestfit_packing,
         "op5_suffix_dedup": op5_suffix_dedup,
+        "op6_crf_toxicity": op6_crf_toxicity,
+        "op8_crf_line_quality": op8_crf_line_quality,
         "op3_fmindex_decontamination": op3_fmindex_decontamination,
     }
 
