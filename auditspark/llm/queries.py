@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fmindex, line_quality, minhash, packing, quality_rules, suffix_dedup, toxicity
+from . import fmindex, language_id, line_quality, minhash, packing, quality_rules, suffix_dedup, toxicity
 from .storage import read
 
 #: op1 links three-word shingle sets at 85 hundredths.
@@ -54,6 +54,10 @@ def op8_crf_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.judged(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op9_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predicted(spark, read(spark, sf_dir, "documents")).drop("code_lengths")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_crf_toxicity": op6_crf_toxicity,
         "op8_crf_line_quality": op8_crf_line_quality,
+        "op9_ppm_language": op9_ppm_language,
         "op3_fmindex_decontamination": op3_fmindex_decontamination,
     }
 
