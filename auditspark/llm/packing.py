@@ -20,7 +20,6 @@ gives no rows.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import defaultdict, deque
 
@@ -37,24 +36,27 @@ END_ID = 1
 #: Rows of one (length, salt) that are ranked together, on average.
 RANKED = 200_000
 #: Words whose ids a worker remembers.
-CACHE = 400_000
+CACHE = 700_000
 
 
-#: A lone mark after a letter and before white space is a token run of its own in any case.
-_MARK = re.compile(rb"([a-z])([.,])(?=[ \n])")
+_APART = np.isin(np.arange(256), (10, 32))
+_MARK = np.isin(np.arange(256), list(b".,"))
+_LETTER = np.array([97 <= b <= 122 for b in range(256)])
 
 
 class FastEncoder:
-    """Ids of whole texts as little-endian 32-bit bytes, each distinct word encoded once.
+    """Ids of whole texts, each distinct word encoded once.
 
     The tokenizer's pattern never crosses a space or a line end, so a text's ids are its
-    words' ids in a row; frequent words are looked up, not encoded again. It lower-cases,
-    so doing that first for A-Z changes no id and leaves fewer distinct words. New words are
-    encoded many at a time and told apart by the tokens that end a word; where their
-    number is not the expected one, each word is encoded by itself.
+    words' ids in a row. It lower-cases, so doing that first for A-Z changes no id, and a
+    lone full stop or comma after a letter is a run of its own. Words are found and hashed
+    by chunk; new ones are encoded many at a time and told apart by the tokens that end a
+    word, or one by one where those are not as many as expected. A text in which a special
+    token may stand is encoded as it is.
     """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -62,52 +64,82 @@ class FastEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
-
-    def _alone(self, words: list[str]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        plain, parts, other = [], [], []
-        for w in words:
-            if w.isalpha():
-                plain.append(w)
-                parts.append(1)
-            elif (core := w.rstrip(".,;:!?")).isalpha():
-                plain.append(w)
-                parts.append(2)
-            else:
-                other.append(w)
-        if other:
-            self._alone(other)
-        for at in range(0, len(plain), 2048):
-            some, count = plain[at : at + 2048], np.cumsum(parts[at : at + 2048])
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            last = np.flatnonzero(self.ends[ids]) + 1
-            if len(last) != count[-1]:
-                self._alone(some)
-                continue
-            raw, begin = ids.tobytes(), 0
-            for w, end in zip(some, (4 * last[count - 1]).tolist(), strict=True):
-                self.known[w] = raw[begin:end]
-                begin = end
-
-    def _words(self, text: str) -> list[str]:
-        if "<|" not in text:  # else a special token could arise or be torn
-            raw = text.encode().translate(B.LOWER)
-            text = _MARK.sub(rb"\1 \2", raw).decode()
-        return text.replace("\n", " ").split(" ")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._words(t) for t in texts]
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        new = set().union(*split).difference(known)
+        self.runs = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slot: dict[int, int] = {}
+        self.pool, self.used = np.empty(1 << 20, np.uint32), 0
+        self.begin, self.size = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
+
+    def _alone(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for ids in coded for i in ids], np.uint32), [len(ids) for ids in coded]
+
+    def _coded(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
+        """All ids of these words in a row, and how many each has."""
+        if any("'" in w for w in words):  # contractions are runs too; their number is not worth foreseeing
+            return self._alone(words)
+        count = np.cumsum([1 if w.isalpha() else len(self.runs.findall(w)) for w in words])
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        last = np.flatnonzero(self.ends[ids]) + 1
+        if len(last) != count[-1] or (last[-1] if len(last) else 0) != len(ids):
+            return self._alone(words)
+        to = np.concatenate(([0], last))[count]
+        return ids, np.diff(to, prepend=0).tolist()
+
+    def _learn(self, keys: list[int], words: list[str]) -> None:
+        order = sorted(range(len(words)), key=lambda i: "'" in words[i])
+        for at in range(0, len(order), 1024):
+            some = order[at : at + 1024]
+            ids, size = self._coded([words[i] for i in some])
+            while self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate((self.pool, np.empty_like(self.pool)))
+            while len(self.slot) + len(some) > len(self.begin):
+                self.begin, self.size = (np.concatenate((x, np.empty_like(x))) for x in (self.begin, self.size))
+            n = len(self.slot)
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.size[n : n + len(some)] = size
+            self.begin[n : n + len(some)] = self.used + np.cumsum(size) - size
+            self.slot.update(zip((keys[i] for i in some), range(n, n + len(some)), strict=True))
+            self.used += len(ids)
+
+    def _chunk(self, c: B.Chunk) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a chunk and the edges of its documents' ids."""
+        data = c.data
+        inside = ~_APART[data]
+        lone = np.zeros(len(data), bool)
+        lone[1:-1] = _MARK[data[1:-1]] & _LETTER[data[:-2]] & ~inside[2:]
+        cut = lone | ~inside
+        start = np.flatnonzero(inside & (lone | np.concatenate(([True], ~inside[:-1]))))
+        end = np.flatnonzero(inside & np.concatenate((cut[1:], [True]))) + 1
+        h = c.hash.of(start, end)
+        keys, first, place = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.slot) > CACHE:
+            self._forget()
+        known, keys = self.slot, keys.tolist()
+        new = [i for i, k in enumerate(keys) if k not in known]
         if new:
-            self._learn(list(new))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+            at = first[new]
+            self._learn([keys[i] for i in new], [c.bytes[a:b].decode() for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+        slot = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))[place]
+        size, begin = self.size[slot], self.begin[slot]
+        total = np.concatenate(([0], np.cumsum(size)))
+        ids = self.pool[np.arange(total[-1]) + np.repeat(begin - total[:-1], size)]
+        return ids, total[np.searchsorted(start, np.append(c.start, len(data)))]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Each text's ids as little-endian 32-bit bytes."""
+        out: list[bytes] = [b""] * len(texts)
+        plain = [i for i, t in enumerate(texts) if b"<|" not in t]
+        for c in B.chunks([texts[i] for i in plain], lower=True):
+            ids, edge = self._chunk(c)
+            raw, edge = ids.astype("<u4", copy=False).tobytes(), (4 * edge).tolist()
+            for k in range(c.n):
+                out[plain[c.first + k]] = raw[edge[k] : edge[k + 1]]
+        for i in set(range(len(texts))).difference(plain):
+            out[i] = np.array(self.tokenizer.encode(texts[i].decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return out
 
 
 _ENCODERS: dict[str, FastEncoder] = {}
@@ -128,7 +160,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
     def run(batches):
         for batch in B.small_batches(batches, 2 * B.CHUNK_BYTES):
             ids = batch.column(0).to_pylist()
-            coded = encoder(tokenizer_path).encode([t or "" for t in batch.column(1).to_pylist()])
+            coded = encoder(tokenizer_path).encode(B.as_bytes(batch.column(1)))
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for i, raw in zip(ids, coded, strict=True):
                 raw += end
