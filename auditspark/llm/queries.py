@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fmindex, html_extract, language_id, line_quality, minhash, packing, quality_rules, suffix_dedup, toxicity
+from . import fmindex, html_extract, language_id, line_quality, minhash, packing, quality_rules, suffix_dedup, surrogates, toxicity
 from .storage import read
 
 #: op1 links three-word shingle sets at 85 hundredths.
@@ -62,6 +62,10 @@ def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(spark, read(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.pseudonymised(spark, read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_crf_line_quality": op8_crf_line_quality,
         "op9_ppm_language": op9_ppm_language,
         "op10_html_main_text": op10_html_main_text,
+        "op7_pii_surrogates": op7_pii_surrogates,
         "op3_fmindex_decontamination": op3_fmindex_decontamination,
     }
 
