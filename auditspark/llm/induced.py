@@ -2,8 +2,9 @@
 
 At the byte level whole buckets are induced at once: the suffixes placed in a bucket
 decide, in order, where the suffixes one byte to their left go, so a bucket is read as
-a growing front and scattered with a stable sort. Reduced strings, which have large
-alphabets, are sorted by the plain recursive form of the same algorithm.
+a growing front and scattered with a stable sort. The reduced string of the names of
+leftmost-smaller substrings has a large alphabet, over which buckets cannot be handled
+whole; it is not sorted by recursion but by doubling what is compared while ties last.
 """
 
 from __future__ import annotations
@@ -13,64 +14,31 @@ import numpy as np
 from .bytetext import ByteHash
 
 
-def _sais_ints(text: list[int], sigma: int) -> list[int]:
-    """Suffix array of ``text``, which ends with its only 0, over symbols below ``sigma``."""
-    n = len(text)
-    if n == 1:
-        return [0]
-    small = bytearray(n)
-    small[n - 1] = 1
-    for i in range(n - 2, -1, -1):
-        a, b = text[i], text[i + 1]
-        small[i] = 1 if a < b else small[i + 1] if a == b else 0
-    count = [0] * sigma
-    for c in text:
-        count[c] += 1
-    heads, tails, at = [0] * sigma, [0] * sigma, 0
-    for c in range(sigma):
-        heads[c] = at
-        at += count[c]
-        tails[c] = at
-
-    def induce(ordered: list[int]) -> list[int]:
-        sa = [-1] * n
-        tail = tails[:]
-        for p in reversed(ordered):
-            c = text[p]
-            tail[c] -= 1
-            sa[tail[c]] = p
-        head = heads[:]
-        for i in range(n):
-            p = sa[i] - 1
-            if p >= 0 and not small[p]:
-                c = text[p]
-                sa[head[c]] = p
-                head[c] += 1
-        tail = tails[:]
-        for i in range(n - 1, -1, -1):
-            p = sa[i] - 1
-            if p >= 0 and small[p]:
-                c = text[p]
-                tail[c] -= 1
-                sa[tail[c]] = p
-        return sa
-
-    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
-    if len(lms) > 1:
-        after = dict(zip(lms, lms[1:] + [n - 1], strict=True))
-        names, name, last = {}, 0, None
-        for p in induce(lms):
-            if p in after:
-                piece = text[p : after[p] + 1]
-                if piece != last:
-                    name, last = name + 1, piece
-                names[p] = name - 1
-        if name < len(lms):
-            order = _sais_ints([names[p] for p in lms], name)
-            lms = [lms[i] for i in order]
-        else:
-            lms = sorted(lms, key=names.__getitem__)
-    return induce(lms)
+def _order_of_names(names: np.ndarray) -> np.ndarray:
+    """Suffix array of the reduced string, by doubling the compared length of what is still tied."""
+    n = len(names)
+    rank = names.astype(np.int64)
+    order = np.argsort(rank, kind="stable")
+    # A rank is the first place of its group, so that groups can be split by themselves.
+    ordered = rank[order]
+    first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+    place = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    rank[order] = place
+    step = 1
+    tied = np.flatnonzero(~(first & np.append(first[1:], True)))
+    while len(tied):
+        p = order[tied]
+        after = np.where(p + step < n, rank[np.minimum(p + step, n - 1)] + 1, 0)
+        group = place[tied]
+        sort = np.argsort(group * (n + 1) + after)
+        p, after = p[sort], after[sort]
+        order[tied] = p
+        new = np.concatenate(([True], (after[1:] != after[:-1]) | (group[1:] != group[:-1])))
+        place[tied] = np.maximum.accumulate(np.where(new, tied, 0))
+        rank[p] = place[tied]
+        tied = tied[~(new & np.append(new[1:], True))]
+        step *= 2
+    return order
 
 
 class _Buckets:
@@ -161,7 +129,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         name[ordered] = np.concatenate(([0], np.cumsum(~same)))
         names = name[lms]
         if names.max() + 1 < len(lms):
-            lms = lms[np.array(_sais_ints(names.tolist(), int(names.max()) + 1), np.int64)]
+            lms = lms[_order_of_names(names)]
         else:
             lms = lms[np.argsort(names)]
     return buckets.induce(lms)[1:]
