@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditspark.config import CONFIG
@@ -44,12 +44,6 @@ class Tree:
             at[i] = np.where(v > threshold[at[i]], right[at[i]], left[at[i]])
         return at
 
-    def expression(self, columns: Sequence[str], node: int = 0) -> Column:
-        if self.feature[node] < 0:
-            return F.lit(float(self.value[node]))
-        over = F.coalesce(F.col(columns[self.feature[node]]) > self.threshold[node], F.lit(False))
-        return F.when(over, self.expression(columns, self.right[node])).otherwise(self.expression(columns, self.left[node]))
-
 
 @dataclass
 class MonotoneModel:
@@ -68,11 +62,13 @@ class MonotoneModel:
         return 1 / (1 + np.exp(-self.raw(x)))
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """``df`` with ``score``, as column expressions."""
-        total = F.lit(self.base)
-        for t in self.trees:
-            total = total + self.rate * t.expression(self.features)
-        return df.withColumn("score", 1 / (1 + F.exp(-total)))
+        """``df`` with ``score``; the trees travel with a vectorised function."""
+
+        @F.pandas_udf("double")
+        def score(*columns: pd.Series) -> pd.Series:
+            return pd.Series(self.score(np.column_stack([c.to_numpy(float) for c in columns])))
+
+        return df.withColumn("score", score(*(F.col(c).cast("double") for c in self.features)))
 
     def contributions(self, x: np.ndarray) -> np.ndarray:
         """Each feature's share of every row's raw score: the change of the expected value along the path."""
@@ -99,46 +95,53 @@ def fit(df: DataFrame, features: Sequence[str], rising: Sequence[str] = (), roun
     features = list(features)
     cuts = df.select(*(F.percentile_approx(F.col(c).cast("double"), [i / bins for i in range(1, bins)], 10_000).alias(c) for c in features)).first()
     edges = [sorted(set(cuts[c] or [])) for c in features]
-    binned = df.select(F.col("y").cast("double").alias("y"), F.when(F.col("y") == 1, float(miss_cost)).otherwise(1.0).alias("w"), *(F.col(c).cast("double").alias(c) for c in features))
-
-    def bin_of(i: int) -> Column:
-        c = F.col(features[i])
-        # Bin k holds values above k edges; nulls are in bin 0.
-        out = F.lit(0)
-        for e in edges[i]:
-            out = out + F.coalesce((c > e).cast("int"), F.lit(0))
-        return out
-
-    binned = binned.select("*", F.array(*(bin_of(i) for i in range(len(features)))).alias("bins")).persist()
-    total = binned.agg(F.sum("w"), F.sum(F.col("w") * F.col("y"))).first()
+    rows = df.select(F.col("y").cast("double").alias("y"), F.when(F.col("y") == 1, float(miss_cost)).otherwise(1.0).alias("w"), *(F.col(c).cast("double").alias(c) for c in features)).persist()
+    total = rows.agg(F.sum("w"), F.sum(F.col("w") * F.col("y"))).first()
     p = min(max((total[1] or 0.0) / max(total[0] or 1.0, 1e-9), 1e-6), 1 - 1e-6)
     model = MonotoneModel(features, float(np.log(p / (1 - p))), [], rate)
     up = {features.index(c) for c in rising if c in features}
     try:
         for _ in range(rounds):
-            scored = model.transform(binned)
-            g, h = F.col("w") * (F.col("score") - F.col("y")), F.col("w") * F.col("score") * (1 - F.col("score"))
-            scored = scored.select("bins", *features, g.alias("g"), h.alias("h"))
             tree = Tree()
             tree.add(0.0, 0.0)
             bound, open_ = {0: (-np.inf, np.inf)}, [0]
             for level in range(depth + 1):
-                number = _node_column(tree, features)
-                cells = scored.withColumn("node", number).where(F.col("node").isin(open_)).select("node", "g", "h", F.posexplode("bins").alias("f", "b")).groupBy("node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
-                open_ = _split(tree, cells, open_, bound, edges, up, l2, least, level < depth)
+                open_ = _split(tree, _histogram(rows, model, tree, open_, edges), open_, bound, edges, up, l2, least, level < depth)
                 if not open_:
                     break
             model.trees.append(tree)
     finally:
-        binned.unpersist()
+        rows.unpersist()
     return model
 
 
-def _node_column(tree: Tree, columns: Sequence[str], node: int = 0) -> Column:
-    if tree.feature[node] < 0:
-        return F.lit(node)
-    over = F.coalesce(F.col(columns[tree.feature[node]]) > tree.threshold[node], F.lit(False))
-    return F.when(over, _node_column(tree, columns, tree.right[node])).otherwise(_node_column(tree, columns, tree.left[node]))
+def _histogram(rows: DataFrame, model: MonotoneModel, tree: Tree, nodes: list[int], edges: list[list[float]]) -> pd.DataFrame:
+    """(node, f, b, g, h): sums of gradients by node, feature and bin; every task sends its own sums only.
+
+    Bin k of a feature holds the values above k of its edges; nulls are in bin 0.
+    """
+    width = max(map(len, edges), default=0) + 1
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((2, len(nodes) * len(edges) * width))
+        number = {n: i for i, n in enumerate(nodes)}
+        for b in batches:
+            x, y, w = b[model.features].to_numpy(float), b["y"].to_numpy(), b["w"].to_numpy()
+            p = model.score(x)
+            g, h = w * (p - y), w * p * (1 - p)
+            own = np.array([number.get(n, -1) for n in tree.leaf(x)])
+            keep = own >= 0
+            for f, e in enumerate(edges):
+                v = x[keep, f]
+                bin_ = np.where(np.isnan(v), 0, np.searchsorted(e, v, "left"))
+                at = (own[keep] * len(edges) + f) * width + bin_
+                for k, z in enumerate((g, h)):
+                    sums[k] += np.bincount(at, weights=z[keep], minlength=sums.shape[1])
+        met = np.flatnonzero(sums.any(0))
+        yield pd.DataFrame({"node": np.array(nodes)[met // (len(edges) * width)], "f": met // width % len(edges), "b": met % width, "g": sums[0, met], "h": sums[1, met]})
+
+    cells = rows.mapInPandas(run, "node long, f long, b long, g double, h double")
+    return cells.groupBy("node", "f", "b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toPandas()
 
 
 def _split(tree: Tree, cells: pd.DataFrame, nodes: list[int], bound: dict, edges: list[list[float]], up: set[int], l2: float, least: float, deeper: bool) -> list[int]:
