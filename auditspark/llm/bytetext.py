@@ -10,6 +10,7 @@ random 64-bit value per byte, read off a running sum: ``hash(l, r) =
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -19,6 +20,12 @@ import pyarrow as pa
 #: Bytes of text handled at once; a longer single text makes a chunk of its own.
 CHUNK_BYTES = 1 << 20
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018  another C library may not have it
+except (OSError, AttributeError):
+    _LIBC = None
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE_VALUE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -31,7 +38,7 @@ NOT_SPACE = np.array([not (b == 32 or 9 <= b <= 13) for b in range(256)])
 ALNUM = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 
 
-@lru_cache(4)
+@lru_cache(2)
 def _powers_upto(n: int, base: int) -> np.ndarray:
     out = np.empty(n, np.uint64)
     out[0] = 1
@@ -130,6 +137,13 @@ def chunks(texts: list[bytes], lower: bool = False, size: int = CHUNK_BYTES) ->
         yield Chunk(texts[first:], first, lower)
 
 
+def trim() -> None:
+    """Gives freed memory back to the system; workers live on after their tasks."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def small_batches(batches: Iterable[pa.RecordBatch], size: int = 8 * CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``size`` bytes, to bound a worker's memory."""
     for batch in batches:
@@ -138,6 +152,7 @@ def small_batches(batches: Iterable[pa.RecordBatch], size: int = 8 * CHUNK_BYTES
         step = max(1, int(batch.num_rows * size / max(size, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    trim()
 
 
 def per_document(values: np.ndarray, document: np.ndarray, n: int) -> np.ndarray:

@@ -26,6 +26,17 @@ def shared_folder(spark: SparkSession) -> str:
     return at
 
 
+#: Rows, and bytes, of an Arrow batch between Spark and its Python workers.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Texts may be long: smaller batches bound what Spark and a worker hold of them at once."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -35,6 +46,7 @@ class Scratch:
     """Tables of one operator run. ``drop`` frees what no later step reads."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bounded_batches(spark)
         self.spark = spark
         self.folder = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.count = 0
@@ -63,12 +75,17 @@ class Scratch:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def blocks(df: DataFrame, at_most: int = 1_000_000) -> int:
-    """How many blocks of at most ``at_most`` rows ``df`` makes."""
-    return max(1, -(-df.count() // at_most))
+#: Narrow rows (an id and a number) that are broadcast at most; about 64 MB as a hash table.
+SENT = 1_000_000
+
+
+def sent_if_small(df: DataFrame, at_most: int = SENT) -> DataFrame:
+    """``df``, to be broadcast if it is counted to be small; larger, Spark shuffles both sides of its join."""
+    return F.broadcast(df) if df.count() <= at_most else df
 
 
 def with_columns_free(df: DataFrame, *names: str) -> DataFrame:
