@@ -1,14 +1,18 @@
 """Toxic spans from a conditional random field over words, and document scores.
 
-Labels are given by document, so words are labelled first: in the training sample, a
-word of a toxic document is toxic if it, or its stem of some bytes, is met in toxic
-documents ``LIFT`` times as often as in others. A field over hashed word and stem
-features is fitted to these labelled words. For every document, forward-backward
-marginals are summed, their sum and maximum are calibrated to a score, and the words at
-0.5 or more are the offending offsets.
-
-Scale: the sample is ``PER_CLASS`` documents of each class at most; the model is a table
-of fixed size; scoring is one pass over all whole texts without a shuffle.
+Labels are given by document, so words are labelled first. Over all labelled training
+documents, Spark counts in how many toxic and other documents each word and each stem
+of some bytes occurs; a table of fixed size holds the counts by hash. A word of a
+toxic document is labelled toxic if it or a stem of it is significantly more frequent
+there. The field's features are the log odds of the word and its stems and those of
+its neighbours. For every document, forward-backward marginals are summed, their sum
+and maximum are calibrated to a score, and the words at 0.5 or more are the offending
+offsets.
+
+Scale: counts are summed before they are shuffled and end as one table of ``2 ** BITS``
+numbers a feature, whatever the corpus; the field itself is fitted to the words of
+``PER_CLASS`` documents of each class at most; scoring is one pass over all whole texts
+without a shuffle.
 
 Edge cases: null and wordless texts have no toxic words and get the score of none; very
 long texts are scored whole; repeated rows are scored row by row; without labels every
@@ -27,15 +31,19 @@ from pyspark.sql import functions as F
 from . import bytetext as B
 from .crf import Chain, fit, logistic
 from .labelled import sample
-from .storage import in_fold
+from .storage import in_fold, sent_if_small
 
 #: Labelled documents of each class that the field is fitted to, at most.
-PER_CLASS = 2500
-LIFT, LEAST_DOCUMENTS = 15.0, 4
+PER_CLASS = 600
+#: Log odds, and evidence in nats, from which a word or stem is called toxic.
+ODDS, EVIDENCE = 2.5, 16.0
+#: Documents that pull a rare word's odds towards even.
+PRIOR = 2.0
 #: Bytes of the stems; the whole word is a feature too.
 STEMS = (4, 5, 6)
-BITS = 16
+BITS = 18
 FEATURES = len(STEMS) + 1
+DENSE = 3 * (FEATURES + 1)
 
 
 def word_features(c: B.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -50,17 +58,75 @@ def word_features(c: B.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return out, start, end, doc
 
 
+def document_counts(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(documents of label 0 and 1, documents of each with each feature) over all labelled documents that are not held out."""
+    known = labels.where(F.col("doc_id").isNotNull()).where(~in_fold(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
+    known = known.where("label in (0, 1)")
+    known = sent_if_small(known)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(known, "doc_id").select("label", "text")
+    size = FEATURES << BITS
+
+    def run(batches):
+        total = np.zeros((2, size + 1), np.int64)
+        for batch in B.small_batches(batches):
+            label = batch.column(0).to_numpy()
+            for c in B.chunks(B.as_bytes(batch.column(1)), lower=True):
+                f, _, _, doc = word_features(c)
+                own = label[c.first : c.first + c.n]
+                total[:, size] += np.bincount(own, minlength=2)
+                for k in range(FEATURES):
+                    pair = np.unique((doc << BITS) | (f[:, k] - (k << BITS)))
+                    at, feature = pair >> BITS, (pair & ((1 << BITS) - 1)) + (k << BITS)
+                    for y in (0, 1):
+                        total[y] += np.bincount(feature[own[at] == y], minlength=size + 1)
+        for y in (0, 1):
+            met = np.flatnonzero(total[y])
+            if len(met):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(met), y, np.int32)), pa.array(met.astype(np.int32)), pa.array(total[y][met])], names=["label", "feature", "n"])
+
+    rows = texts.mapInArrow(run, "label int, feature int, n long").groupBy("label", "feature").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros((2, size + 1), np.int64)
+    total[rows.column("label").to_numpy(), rows.column("feature").to_numpy()] = rows.column("n").to_numpy()
+    return total[:, size], total[:, :size]
+
+
+def log_odds(documents: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every feature: its log odds of being in a toxic document, and whether they are high beyond doubt."""
+    share = documents / max(1, documents.sum())
+    rate = [(counts[y] + PRIOR * share[y]) / max(1, documents[y]) for y in (0, 1)]
+    odds = np.log(np.maximum(rate[1], 1e-12) / np.maximum(rate[0], 1e-12)) if documents.min() else np.zeros(counts.shape[1])
+    n = counts.sum(0)
+    q = np.clip(counts[1] / np.maximum(n, 1), 1e-9, 1 - 1e-9)
+    p = np.clip(share[1], 1e-9, 1 - 1e-9)
+    evidence = n * (q * np.log(q / p) + (1 - q) * np.log((1 - q) / (1 - p)))
+    sure = (odds >= ODDS) & (evidence >= EVIDENCE)
+    for table in (odds, sure):
+        table[[k << BITS for k in range(1, FEATURES)]] = 0
+    return odds.astype(np.float32), sure
+
+
 @dataclass
 class ToxicModel:
+    odds: np.ndarray
+    sure: np.ndarray
     weights: np.ndarray
     chain: Chain
     calibration: np.ndarray
 
-    def marginals(self, features: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    def dense(self, f: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Odds and a mark of each word, its predecessor and its successor in the document."""
+        own = np.column_stack((self.odds[f] * 0.3, self.sure[f].any(1))).astype(np.float32)
+        before, after = np.zeros_like(own), np.zeros_like(own)
+        inner = np.flatnonzero(~start)
+        before[inner] = own[inner - 1]
+        after[inner - 1] = own[inner]
+        return np.concatenate((own, before, after), 1)
+
+    def marginals(self, f: np.ndarray, doc: np.ndarray) -> np.ndarray:
         if not len(doc):
             return np.empty(0)
         start = np.concatenate(([True], doc[1:] != doc[:-1]))
-        return self.chain.marginals(self.weights[features].sum(1) + self.weights[-1], start)
+        return self.chain.marginals(self.dense(f, start) @ self.weights[:-1].astype(np.float32) + self.weights[-1], start)
 
     def summary(self, p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         total, most = np.bincount(doc, weights=p, minlength=n), np.zeros(n)
@@ -72,20 +138,6 @@ class ToxicModel:
         return 1 / (1 + np.exp(-(x @ self.calibration[:-1] + self.calibration[-1])))
 
 
-def _labelled_words(f: np.ndarray, number: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """1 for the words of toxic documents of which a feature is far more frequent there."""
-    size = FEATURES << BITS
-    lift = np.zeros(size)
-    pairs = [np.unique(number.astype(np.int64) * size + f[:, k]) for k in range(FEATURES)]
-    pairs = np.concatenate(pairs)
-    at, feature = pairs // size, pairs % size
-    with_, without = (np.bincount(feature[toxic[at] == y], minlength=size) for y in (1, 0))
-    rate = (with_ / max(1, toxic.sum())) / ((without + 0.5) / max(1, (1 - toxic).sum()))
-    lift = np.where(with_ >= LEAST_DOCUMENTS, rate, 0)
-    lift[[k << BITS for k in range(1, FEATURES)]] = 0
-    return ((lift[f].max(1) >= LIFT) & (toxic[number] == 1)).astype(float)
-
-
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicModel:
     def run(batches):
         for batch in B.small_batches(batches):
@@ -96,39 +148,23 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: in
                 flat = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(f.ravel()))
                 yield pa.RecordBatch.from_arrays([ids.slice(c.first, c.n), label.slice(c.first, c.n), flat], names=["doc_id", "label", "f"])
 
+    documents, counts = document_counts(docs, labels)
+    model = ToxicModel(*log_odds(documents, counts), np.zeros(DENSE + 1), Chain(np.zeros((2, 2)), 0.0), np.zeros(3))
     table = sample(docs, labels, "toxic", per_class).mapInArrow(run, "doc_id long, label int, f array<int>").toArrow().sort_by("doc_id")
     toxic = table.column("label").to_numpy().astype(np.int64)
     lists = table.column("f").combine_chunks()
-    lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays([x for x in table.column("f").chunks])
-    none = ToxicModel(np.zeros((FEATURES << BITS) + 1), Chain(np.zeros((2, 2)), 0.0), np.zeros(3))
-    if not len(toxic) or not len(lists.values):
-        return none
+    if not len(toxic) or not documents.min() or not len(lists.flatten()):
+        return model
     size = np.diff(lists.offsets.to_numpy()) // FEATURES
     f = lists.flatten().to_numpy().reshape(-1, FEATURES)
     number = np.repeat(np.arange(len(toxic)), size)
-    y = _labelled_words(f, number, toxic)
-    # Toxic words are rare: all of them, and their neighbours, are kept in the fit; other
-    # words are fitted in whole documents too, as every document is.
+    y = (model.sure[f].any(1) & (toxic[number] == 1)).astype(float)
     start = np.concatenate(([True], number[1:] != number[:-1]))
-    weight = np.where(y > 0, 1.0, 0.2)
-    used, place = np.unique(f, return_inverse=True)
-    place = place.reshape(f.shape)
-
-    def push(g: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(used) + 1)
-        for k in range(FEATURES):
-            out[:-1] += np.bincount(place[:, k], weights=g, minlength=len(used))
-        out[-1] = g.sum()
-        return out
-
-    w, chain = fit(lambda w: w[place].sum(1) + w[-1], push, len(used) + 1, y, start, weight, rounds=30, rate=0.3, l2=1e-7)
-    full = np.zeros((FEATURES << BITS) + 1)
-    full[used], full[-1] = w[:-1], w[-1]
-    model = ToxicModel(full.astype(np.float32).astype(float), chain, np.zeros(3))
-    p = model.marginals(f, number)
-    x = model.summary(p, number, len(toxic))
+    x = np.column_stack((model.dense(f, start), np.ones(len(f), np.float32)))
+    model.weights, model.chain = fit(lambda w: (x @ w.astype(np.float32)).astype(float), lambda g: (g.astype(np.float32) @ x).astype(float), x.shape[1], y, start, np.ones(len(y)), rounds=60, rate=0.2)
+    seen = model.summary(model.marginals(f, number), number, len(toxic))
     balance = np.where(toxic == 1, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (1 - toxic).sum())) * len(toxic)
-    model.calibration = logistic(x, toxic.astype(float), balance)
+    model.calibration = logistic(seen, toxic.astype(float), balance)
     return model
 
 
