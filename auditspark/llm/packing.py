@@ -36,7 +36,9 @@ END_ID = 1
 #: Rows of one (length, salt) that are ranked together, on average.
 RANKED = 200_000
 #: Words whose ids a worker remembers.
-CACHE = 700_000
+CACHE = 500_000
+#: Words that it keeps between tasks.
+KEPT = 400_000
 
 
 _APART = np.isin(np.arange(256), (10, 32))
@@ -72,15 +74,22 @@ class FastEncoder:
         self.pool, self.used = np.empty(1 << 20, np.uint32), 0
         self.begin, self.size = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
 
+    def rest(self) -> None:
+        """Between tasks a worker holds a bounded vocabulary."""
+        if len(self.slot) > KEPT:
+            self._forget()
+
     def _alone(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
         coded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         return np.array([i for ids in coded for i in ids], np.uint32), [len(ids) for ids in coded]
 
     def _coded(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
         """All ids of these words in a row, and how many each has."""
-        if any("'" in w for w in words):  # contractions are runs too; their number is not worth foreseeing
+        if any(map(self._odd, words)):
             return self._alone(words)
-        count = np.cumsum([1 if w.isalpha() else len(self.runs.findall(w)) for w in words])
+        normal = self.tokenizer.normalizer.normalize_str
+        shown = [w if w.isascii() else normal(w) for w in words]
+        count = np.cumsum([1 if w.isalpha() else len(self.runs.findall(w)) for w in shown])
         ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
         last = np.flatnonzero(self.ends[ids]) + 1
         if len(last) != count[-1] or (last[-1] if len(last) else 0) != len(ids):
@@ -88,10 +97,15 @@ class FastEncoder:
         to = np.concatenate(([0], last))[count]
         return ids, np.diff(to, prepend=0).tolist()
 
+    @staticmethod
+    def _odd(word: str) -> bool:
+        """Words whose number of runs is not worth foreseeing: contractions, and characters that may combine or be of a newer standard."""
+        return "'" in word or max(word) >= "\u0250"
+
     def _learn(self, keys: list[int], words: list[str]) -> None:
-        order = sorted(range(len(words)), key=lambda i: "'" in words[i])
-        for at in range(0, len(order), 1024):
-            some = order[at : at + 1024]
+        odd = [self._odd(w) for w in words]
+        parts = [[i for i in range(len(words)) if odd[i] == kind] for kind in (False, True)]
+        for some in (p[at : at + 1024] for p in parts for at in range(0, len(p), 1024)):
             ids, size = self._coded([words[i] for i in some])
             while self.used + len(ids) > len(self.pool):
                 self.pool = np.concatenate((self.pool, np.empty_like(self.pool)))
@@ -173,6 +187,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
             if with_ids:
                 columns.append(pa.array([np.frombuffer(p, "<u4").astype(np.int32) for p in out[5]], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
+        encoder(tokenizer_path).rest()
+        B.trim()
 
     return chosen.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
