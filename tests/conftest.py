@@ -7,10 +7,8 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
-SMALL = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="session")
@@ -35,22 +33,9 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
+    from support import SMALL, TABLES
 
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     return con
-
-
-def rows(df, *order):
-    """Rows as tuples, sorted."""
-    return sorted((tuple(r) for r in df.collect()), key=repr)
-
-
-def same_as_sql(df, con, sql):
-    columns = sorted(df.columns)
-    quoted = ", ".join(f'"{c}"' for c in columns)
-    want = sorted(con.sql(f"SELECT {quoted} FROM ({sql})").fetchall(), key=repr)
-    got = rows(df.select(*columns))
-    assert got == want
-    assert sorted(con.sql(sql).columns) == columns

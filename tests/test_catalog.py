@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from auditspark.plans import catalog
-from conftest import SMALL, same_as_sql
+from support import SMALL, same_as_sql
 
 SQL = catalog.oracle_sql()
 

@@ -16,7 +16,7 @@ from auditspark.plans import oracle, report
 from auditspark.sources import adapters as A
 from auditspark.sources import readers, synthetic
 from auditspark.streaming import risk_stream
-from conftest import SMALL
+from support import SMALL
 
 
 def test_stream_equals_batch(spark, tmp_path):
