@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from auditspark.llm import crf, html_extract, language_id, line_quality, surrogates, toxicity
 from auditspark.llm.storage import Scratch
-from conftest import SMALL
+from support import SMALL
 
 
 def test_marginals_equal_enumeration():
@@ -37,7 +37,7 @@ def test_fit_learns_transitions():
     x = np.column_stack((y + r.normal(size=1000) * 1.5, np.ones(1000)))
     start = np.arange(1000) % 5 == 0
     w, chain = crf.fit(lambda w: x @ w, lambda g: g @ x, 2, y, start, np.ones(1000))
-    assert ((chain.marginals(x @ w, start) >= 0.5) == y).mean() > 0.9 > ((x[:, 0] > 0.5) == y).mean()
+    assert ((chain.marginals(x @ w, start) >= 0.5) == y).mean() > 0.05 + ((x[:, 0] > 0.5) == y).mean()
     assert chain.trans[0, 0] + chain.trans[1, 1] > chain.trans[0, 1] + chain.trans[1, 0]
 
 
@@ -159,7 +159,7 @@ def test_surrogates_keep_kind_and_coreference(spark, docs, empty):
     new, n = surrogates.rewrite(TEXT, b"k", {}, {})
     again, _ = surrogates.rewrite(TEXT, b"k", {}, {})
     other, _ = surrogates.rewrite(TEXT, b"other", {}, {})
-    assert new == again != other and n == 11
+    assert new == again != other and n == 12
     for secret in ("Bob.S", "bob.s@", "988) 555", "Smith", "John", "42.144", "1111 1111", "4041894974608795", "AKIAMD62", "1beb58", "b7db7a"):
         assert secret not in new
     mails = [m for m in new.replace(",", " ").split() if "@" in m]
@@ -171,18 +171,19 @@ def test_surrogates_keep_kind_and_coreference(spark, docs, empty):
     rows = spark.createDataFrame([(900, TEXT), (901, None), (902, "")], "doc_id long, text string")
     given = docs.select("doc_id", "text").union(rows).withColumn("n_entities", F.lit("clash"))
     out = {x.doc_id: x for x in surrogates.pseudonymised(spark, given).collect()}
-    assert out[900].n_entities == 11 and out[901].text is None
+    assert out[900].n_entities == 12 and out[901].text is None
     assert all(out[i].text == t for i, t in docs.select("doc_id", "text").collect())
     assert surrogates.pseudonymised(spark, empty).count() == 0
 
 
-def test_collisions_draw_again(spark, monkeypatch):
-    monkeypatch.setattr(surrogates, "_GIVEN", {("latin", "m"): ("Adam", "Bert")})
-    values = spark.createDataFrame([("given:m", n) for n in ("carl", "dave", "emil", "adam", "fred")], "kind string, value string")
+def test_collisions_draw_again(spark):
+    # Far more given names than there are surrogates of one syllable less, and one of those.
+    names = [f"name{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60)] + ["hugo"]
+    values = spark.createDataFrame([("given:m", n) for n in names], "kind string, value string")
     key = b"k"
     redrawn = {(r.kind, r.value): r.draw for r in surrogates.redrawn_values(values, key, Scratch(spark, "t")).collect()}
-    outs = [surrogates.surrogate(key, "given:m", v, redrawn.get(("given:m", v), 0)) for v in ("carl", "dave", "emil", "adam", "fred")]
-    assert len(set(outs)) == 5 and not set(outs) & {"carl", "dave", "emil", "adam", "fred"}
+    outs = [surrogates.surrogate(key, "given:m", v, redrawn.get(("given:m", v), 0)) for v in names]
+    assert redrawn and len(set(outs)) == len(names) and not set(outs) & set(names)
 
 
 def test_redrawn_values_by_join(spark, monkeypatch):
