@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bytetext as B
-from .storage import with_columns_free
+from .storage import packed_row, unpacked_row, with_columns_free
 
 WINDOW = 10
 SAMPLE = 16
@@ -274,5 +274,5 @@ def _cut(text: bytes, spans: list[int]) -> bytes:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents without the words of test phrases; texts without any stay as they are."""
-    found = contamination(spark, docs, benchmark, window=window, remove=True)
-    return found.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    found = contamination(spark, packed_row(docs), benchmark, window=window, remove=True)
+    return unpacked_row(found, docs.columns)

@@ -125,18 +125,18 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: in
     return LineModel(w, chain)
 
 
-def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, keep: list[str], per_class: int = PER_CLASS) -> DataFrame:
-    """The columns ``keep`` with ``score``."""
+def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, keep: list[str], per_class: int = PER_CLASS, name: str = "score") -> DataFrame:
+    """The columns ``keep`` with the score as ``name``."""
     sent = spark.sparkContext.broadcast(train(spark, docs, labels, per_class))
-    keep = [k for k in keep if k != "score"]
+    keep = [k for k in keep if k.lower() != name.lower()]
     chosen = with_columns_free(docs, "_text").select(*keep, F.col("text").cast("string").alias("_text"))
 
     def run(batches):
         for batch in B.small_batches(batches):
             for c in B.chunks(B.as_bytes(batch.column(len(keep)))):
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(c.first, c.n) for i in range(len(keep))), pa.array(sent.value.score(c))], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(c.first, c.n) for i in range(len(keep))), pa.array(sent.value.score(c))], names=[*keep, name])
 
-    schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), "score double"])
+    schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), f"{name} double"])
     return chosen.mapInArrow(run, schema)
 
 
@@ -148,8 +148,5 @@ def judged(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame
 
 def good_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score is at least ``GOOD``."""
-    found = scored(spark, with_columns_free(docs, "score"), labels, [c for c in docs.columns if c.lower() != "score"])
-    clash = [c for c in docs.columns if c.lower() == "score"]
-    if clash:
-        raise ValueError("documents must not have a column named score")
-    return found.where(F.col("score") >= GOOD).select(*docs.columns)
+    found = scored(spark, docs, labels, docs.columns, name="_line_score")
+    return found.where(F.col("_line_score") >= GOOD).select(*docs.columns)

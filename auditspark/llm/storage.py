@@ -93,6 +93,22 @@ def with_columns_free(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in {n.lower() for n in names}])
 
 
+def packed_row(docs: DataFrame) -> DataFrame:
+    """``docs`` as its text and one struct of everything else, so that no added column can clash."""
+    others = [c for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*others).alias("_row"), F.col("text").cast("string").alias("text"))
+
+
+def unpacked_row(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns again; a text's length, if ``n_chars`` is one of them, is taken anew."""
+    def one(c: str) -> F.Column:
+        if c == "text":
+            return F.col("text")
+        return F.length("text").cast("long").alias(c) if c == "n_chars" else F.col("_row").getField(c).alias(c)
+
+    return df.select(*map(one, columns))
+
+
 def in_fold(column) -> F.Column:
     """True for held-out rows: crc32 of the id as text, modulo 5, is 0. A null id is not held out."""
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % 5 == 0, F.lit(False))

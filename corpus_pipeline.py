@@ -18,11 +18,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from auditspark.llm import fmindex, line_quality, minhash, packing, surrogates
 from auditspark.llm.queries import tokenizer_path
-from auditspark.llm.storage import bounded_batches, read, shared_folder
+from auditspark.llm.storage import bounded_batches, packed_row, read, shared_folder, unpacked_row
 
 NEAR = minhash.MinMaxHash(words=5, percent=80)
 
@@ -43,8 +42,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
-    found = surrogates.pseudonymised(spark, docs)
-    return found.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    return unpacked_row(surrogates.pseudonymised(spark, packed_row(docs)), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

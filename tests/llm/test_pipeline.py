@@ -19,3 +19,16 @@ def test_stages_and_run(spark):
     out = C.run(spark, SMALL)
     assert sorted(map(tuple, out.select("doc_id", "piece", "length", "ids_crc32").collect())) == sorted(map(tuple, last.select("doc_id", "piece", "length", "ids_crc32").collect()))
     assert last.select("doc_id").distinct().count() == before
+
+
+def test_stages_keep_clashing_columns_and_odd_rows(spark, docs, empty):
+    from pyspark.sql import functions as F
+
+    names = ("items", "spans", "n_entities", "score", "n_words", "kept", "component_id", "k1", "templates", "id", "n")
+    odd = docs.select("*", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in names))
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, odd, SMALL)
+        assert out.columns == odd.columns, name
+        assert all(r[c] == f"{c}{r.doc_id}" for r in out.collect() for c in names), name
+        assert stage(spark, empty, SMALL).count() == 0, name
+    assert C.STAGES[-1][1](spark, odd, SMALL).select("doc_id").distinct().count() == docs.count()
