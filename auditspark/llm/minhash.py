@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytetext as B
-from .storage import Scratch
+from .storage import Scratch, sent_if_small
 
 #: Longs of a parity sketch.
 SKETCH = 16
@@ -209,7 +209,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: MinMaxHash, id_col:
     banded = nodes.select("id", "n", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     buckets = scratch.save(banded.join(shared, "key"))
-    members = buckets.select("id").distinct()
+    members = sent_if_small(scratch.save(buckets.select("id").distinct()))
     sets = shingle_sets(given.join(members, "id", "left_semi"), p).join(nodes.select("id", "fp1", "fp2"), ["id", "fp1", "fp2"], "left_semi").dropDuplicates(["id"])
     sets = scratch.save(sets.select("id", "shingles", "sketch"))
     sketches = sets.select("id", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)))
@@ -263,7 +263,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, p: MinMaxHash) -> DataFram
     found = near_duplicates(spark, docs, p)
     scratch = Scratch(spark, "kept")
     found = scratch.save(found.select("doc_id", "kept"))
-    out = docs.join(found.where("doc_id is not null and not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    gone = sent_if_small(found.where("doc_id is not null and not kept").select("doc_id").distinct())
+    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     repeats = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
     if repeats:
         with_id = out.where("doc_id is not null").dropDuplicates(["doc_id"])
