@@ -231,3 +231,22 @@ def test_monotone_trees_never_fall(spark):
 def test_forbidden_features(spark):
     with pytest.raises(ValueError, match="entity"):
         S.assert_label_free(frame(spark, [(1, 2)], "entity long, x long"))
+
+
+def test_tuning_and_separate_calibration(spark):
+    r = random.Random(3)
+    data = [(i, i, float(i % 10), r.random(), int(r.random() < 0.2 + 0.05 * (i % 10)), i % 2) for i in range(300)]
+    df = frame(spark, data, "row_id long, t long, a double, b double, y int, regime int")
+    found = ML.tuned(df, ["a", "b"], "logreg", 2)
+    assert set(found) == {"regParam", "elasticNetParam"} and ML.tuned(df, ["a"], "logreg", 0) == {}
+    scored = ML.fit_score(df, df, ["a", "b"], "logreg", parameters=found)
+    out = ML.isotonic(scored.where("row_id < 200"), scored.where("row_id >= 200"), min_rows=50)
+    assert out.count() == 100 and out.where("calibrated < 0 or calibrated > 1").count() == 0
+
+
+def test_command_line(capsys):
+    from auditspark.__main__ import main
+
+    assert main(["list"]) == 0 and "assoc_risk_gated" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        main(["run", "nothing"])
