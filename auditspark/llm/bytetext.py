@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer single text makes a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
@@ -144,7 +144,7 @@ def trim() -> None:
         _LIBC.malloc_trim(0)
 
 
-def small_batches(batches: Iterable[pa.RecordBatch], size: int = 8 * CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterable[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``size`` bytes, to bound a worker's memory."""
     for batch in batches:
         if batch.num_rows == 0:

@@ -30,7 +30,7 @@ from .storage import packed_row, unpacked_row, with_columns_free
 
 WINDOW = 10
 SAMPLE = 16
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 ITEM_BLOCK = 4 << 20
 
 

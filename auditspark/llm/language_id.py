@@ -155,7 +155,7 @@ def predicted(spark: SparkSession, docs: DataFrame, per_language: int = PER_LANG
         t = sent.value
         for batch in B.small_batches(batches):
             texts = B.as_bytes(batch.column(1))
-            for c in B.chunks(texts, lower=True, size=B.CHUNK_BYTES // 4):
+            for c in B.chunks(texts, lower=True, size=B.CHUNK_BYTES // 2):
                 some = _has_letter(c, texts)
                 if t is None:
                     some[:] = False

@@ -66,6 +66,7 @@ class FastEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.cache = CACHE
         self.runs = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
         self._forget()
 
@@ -75,8 +76,8 @@ class FastEncoder:
         self.begin, self.size = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
 
     def rest(self) -> None:
-        """Between tasks a worker holds a bounded vocabulary."""
-        if len(self.slot) > KEPT:
+        """Between tasks a worker holds less than while it works."""
+        if len(self.slot) > 0.8 * self.cache:
             self._forget()
 
     def _alone(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
@@ -84,9 +85,7 @@ class FastEncoder:
         return np.array([i for ids in coded for i in ids], np.uint32), [len(ids) for ids in coded]
 
     def _coded(self, words: list[str]) -> tuple[np.ndarray, list[int]]:
-        """All ids of these words in a row, and how many each has."""
-        if any(map(self._odd, words)):
-            return self._alone(words)
+        """All ids of these words, none of them odd, in a row, and how many each has."""
         normal = self.tokenizer.normalizer.normalize_str
         shown = [w if w.isascii() else normal(w) for w in words]
         count = np.cumsum([1 if w.isalpha() else len(self.runs.findall(w)) for w in shown])
@@ -100,13 +99,13 @@ class FastEncoder:
     @staticmethod
     def _odd(word: str) -> bool:
         """Words whose number of runs is not worth foreseeing: contractions, and characters that may combine or be of a newer standard."""
-        return "'" in word or max(word) >= "\u0250"
+        return "'" in word or not word.isascii() and max(word) >= "\u0250"
 
     def _learn(self, keys: list[int], words: list[str]) -> None:
         odd = [self._odd(w) for w in words]
         parts = [[i for i in range(len(words)) if odd[i] == kind] for kind in (False, True)]
         for some in (p[at : at + 1024] for p in parts for at in range(0, len(p), 1024)):
-            ids, size = self._coded([words[i] for i in some])
+            ids, size = (self._alone if odd[some[0]] else self._coded)([words[i] for i in some])
             while self.used + len(ids) > len(self.pool):
                 self.pool = np.concatenate((self.pool, np.empty_like(self.pool)))
             while len(self.slot) + len(some) > len(self.begin):
@@ -129,7 +128,7 @@ class FastEncoder:
         end = np.flatnonzero(inside & np.concatenate((cut[1:], [True]))) + 1
         h = c.hash.of(start, end)
         keys, first, place = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.slot) > CACHE:
+        if len(self.slot) > self.cache:
             self._forget()
         known, keys = self.slot, keys.tolist()
         new = [i for i, k in enumerate(keys) if k not in known]
@@ -165,16 +164,18 @@ def encoder(path: str) -> FastEncoder:
     return _ENCODERS[path]
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and the ids, if asked for) of every piece of every row."""
     end = np.array([END_ID], "<u4").tobytes()
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     step = 4 * capacity
 
     def run(batches):
-        for batch in B.small_batches(batches, 2 * B.CHUNK_BYTES):
+        for batch in B.small_batches(batches, 2 << 20):
             ids = batch.column(0).to_pylist()
-            coded = encoder(tokenizer_path).encode(B.as_bytes(batch.column(1)))
+            known = encoder(tokenizer_path)
+            known.cache = cache
+            coded = known.encode(B.as_bytes(batch.column(1)))
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for i, raw in zip(ids, coded, strict=True):
                 raw += end
@@ -267,10 +268,10 @@ def ranked(rows: DataFrame, many: int) -> DataFrame:
     return salted.withColumn("own", own).join(before, ["length", "salt"]).withColumn("rank", F.col("own") + F.col("before")).drop("salt", "own", "before")
 
 
-def packed(spark: SparkSession, docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Every piece with its sequence_id and offset."""
+def packed(spark: SparkSession, docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, cache: int = CACHE) -> DataFrame:
+    """Every piece with its sequence_id and offset. ``cache``: words that a worker remembers, for speed only."""
     scratch = Scratch(spark, "packing")
-    rows = scratch.save(pieces(docs, tokenizer_path, capacity))
+    rows = scratch.save(pieces(docs, tokenizer_path, capacity, cache=cache))
     counts = {r.length: r.n for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = np.array(plan(counts, capacity), np.int64).reshape(-1, 5)
     order = np.lexsort((runs[:, 1], runs[:, 0]))

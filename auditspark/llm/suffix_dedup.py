@@ -103,7 +103,7 @@ def _anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches):
         for batch in B.small_batches(batches):
             keys = [batch.column(i).to_numpy() for i in (0, 1)]
-            for c in B.chunks(B.as_bytes(batch.column(2)), size=B.CHUNK_BYTES // 2):
+            for c in B.chunks(B.as_bytes(batch.column(2)), size=B.CHUNK_BYTES):
                 got = chunk_anchors(c, length, gram)
                 if len(got[0]):
                     yield _row(got, [k[c.first : c.first + c.n] for k in keys])

@@ -46,7 +46,8 @@ def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.packed(spark, docs, tokenizer_path())
+    # Workers live through all stages: a smaller vocabulary leaves room for the others.
+    return packing.packed(spark, docs, tokenizer_path(), cache=100_000)
 
 
 STAGES = [
