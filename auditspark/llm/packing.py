@@ -36,7 +36,7 @@ END_ID = 1
 #: Rows of one (length, salt) that are ranked together, on average.
 RANKED = 200_000
 #: Words whose ids a worker remembers.
-CACHE = 500_000
+CACHE = 700_000
 #: Words that it keeps between tasks.
 KEPT = 400_000
 
@@ -89,7 +89,7 @@ class FastEncoder:
         normal = self.tokenizer.normalizer.normalize_str
         shown = [w if w.isascii() else normal(w) for w in words]
         count = np.cumsum([1 if w.isalpha() else len(self.runs.findall(w)) for w in shown])
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         last = np.flatnonzero(self.ends[ids]) + 1
         if len(last) != count[-1] or (last[-1] if len(last) else 0) != len(ids):
             return self._alone(words)
@@ -127,7 +127,13 @@ class FastEncoder:
         start = np.flatnonzero(inside & (lone | np.concatenate(([True], ~inside[:-1]))))
         end = np.flatnonzero(inside & np.concatenate((cut[1:], [True]))) + 1
         h = c.hash.of(start, end)
-        keys, first, place = np.unique(h, return_index=True, return_inverse=True)
+        # As np.unique would, but any occurrence stands for a word, so the sort need not be stable.
+        order = np.argsort(h)
+        ordered = h[order]
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = ordered[1:] != ordered[:-1]
+        keys, first, place = ordered[fresh], order[fresh], np.empty(len(h), np.int64)
+        place[order] = np.cumsum(fresh) - 1
         if len(self.slot) > self.cache:
             self._forget()
         known, keys = self.slot, keys.tolist()
@@ -145,7 +151,7 @@ class FastEncoder:
         """Each text's ids as little-endian 32-bit bytes."""
         out: list[bytes] = [b""] * len(texts)
         plain = [i for i, t in enumerate(texts) if b"<|" not in t]
-        for c in B.chunks([texts[i] for i in plain], lower=True):
+        for c in B.chunks([texts[i] for i in plain], lower=True, size=4 * B.CHUNK_BYTES):
             ids, edge = self._chunk(c)
             raw, edge = ids.astype("<u4", copy=False).tobytes(), (4 * edge).tolist()
             for k in range(c.n):
@@ -171,7 +177,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
     step = 4 * capacity
 
     def run(batches):
-        for batch in B.small_batches(batches, 2 << 20):
+        for batch in B.small_batches(batches, 4 << 20):
             ids = batch.column(0).to_pylist()
             known = encoder(tokenizer_path)
             known.cache = cache
