@@ -1,12 +1,14 @@
 """Main text of web pages: site templates are found by counting subtrees per host.
 
 Every page is parsed into a tree. The hashes of its block subtrees (tag, marks and
-text, from the leaves up) are counted per host in Spark; a subtree on at least
-``MANY`` pages and ``SHARE`` of a host's pages is the site's template and is deleted,
-except inside the article itself, where copies of one article would look alike. What
-elements and class names mark as menus, notices, adverts, forms, comments and the like
-is deleted too. The blocks of the article, or of what is left of the body where a page
-has none, are the text.
+text, from the leaves up) are counted per host in Spark, inside and outside articles; a
+subtree in at least ``MANY`` different articles and ``SHARE`` of those of a host is the
+site's template and is deleted. Copies of an article count once, and near copies not at
+all: an article is evidence for a subtree if at least ``OWN`` of its other text is in
+blocks that do not recur. Inside an article, lists and tables are judged whole, and
+headings with the section they stand in. What elements and class names mark as menus,
+notices, adverts, forms, comments and the like is deleted too. The blocks of the
+article, or of what is left of the body where a page has none, are the text.
 
 Scale: the counts travel as (host, hash) rows with partial sums, so a host with a third
 of all pages is no hot spot; no host's templates are ever gathered: they are joined
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 from . import bytetext as B
 from .storage import Scratch, with_columns_free
 
-#: Pages, and share of a host's pages, that make a subtree a template.
+#: Articles, and share of a host's articles, that make a subtree a template.
 MANY, SHARE = 10, 0.2
+#: Share of an article's other text that does not recur, for it to be evidence.
+OWN = 0.5
 
 # HTML element names by role.
 _RAW = frozenset("script style noscript template textarea title svg math iframe object select canvas audio video".split())
@@ -42,6 +46,8 @@ _BLOCK = frozenset(
     " header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _SKIP = frozenset("head nav footer aside form button menu dialog header label fieldset figcaption".split()) | _RAW
+#: Judged with what they are parts of, inside an article.
+_PARTS = frozenset("li dt dd tr td th tbody thead tfoot caption option optgroup legend h1 h2 h3 h4 h5 h6 hgroup".split())
 _ENDS_P = _BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"}
 #: Words in class, id or role that mark what is not the article.
 _MARKED = re.compile(
@@ -166,29 +172,66 @@ def _kept_articles(root: Node) -> list[Node]:
     return []
 
 
-def page_subtrees(text: str) -> set[int]:
-    """Hashes of the block subtrees outside the article."""
+def _lengths(top: Node, units: set[int]) -> dict[int, tuple[int, int]]:
+    """By id of the nodes whose text is kept: characters, and those in no unit below the node."""
+    out: dict[int, tuple[int, int]] = {}
+    stack = [(top, False)]
+    while stack:
+        n, ready = stack.pop()
+        below = [c for c in n.children if not isinstance(c, str) and not c.skip]
+        if not ready:
+            stack.append((n, True))
+            stack.extend((c, False) for c in below)
+            continue
+        own = sum(len(_SPACE.sub(" ", c).strip()) for c in n.children if isinstance(c, str))
+        out[id(n)] = (own + sum(out[id(c)][0] for c in below), own + sum(out[id(c)][1] for c in below if id(c) not in units))
+    return out
+
+
+def page_subtrees(text: str) -> tuple[int, dict[tuple[int, int], tuple[int, int, int]]]:
+    """The page's content, and by (subtree, content it stands in) characters of the content, the subtree, and the subtree alone.
+
+    The content is the hash of the article, or of the page without one. Subtrees that are not in the text have no characters.
+    """
     root = parse(text)
     found: list[Node] = []
     _hash(root, found)
-    inside: set[int] = set()
-    for a in _kept_articles(root):
+    articles = _kept_articles(root)
+    inside: dict[int, Node] = {}
+    for a in articles:
         stack = [a]
         while stack:
             n = stack.pop()
-            inside.add(id(n))
+            inside[id(n)] = a
             stack.extend(c for c in n.children if not isinstance(c, str))
-    return {n.hash for n in found if id(n) not in inside}
+    whole = xxhash.xxh3_64_intdigest(repr([a.hash for a in articles])) - (1 << 63) if articles else root.hash
+    tops = {id(a) for a in articles}
+    found = [n for n in found if id(n) not in tops and not (id(n) in inside and n.tag in _PARTS)]
+    units = {id(n) for n in found}
+    lengths: dict[int, tuple[int, int]] = {}
+    totals: dict[int, int] = {}
+    for a in articles or [root]:
+        got = _lengths(a, units)
+        totals[a.hash] = totals.get(a.hash, 0) + got[id(a)][0]
+        lengths |= got
+    out: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for n in found:
+        a = inside.get(id(n), None if articles else root)
+        content = a.hash if a else whole
+        one, alone = lengths.get(id(n), (0, 0))
+        _, s, d = out.get((n.hash, content), (0, 0, 0))
+        out[n.hash, content] = (totals[content] if a else 0, s + one, d + alone)
+    return whole, out
 
 
 def main_text(text: str, templates: set[int]) -> str:
     """The article's blocks, joined by blank lines."""
     root = parse(text)
+    if templates:
+        _hash(root, [])
     articles = _kept_articles(root)
-    if not articles:
-        if templates:
-            _hash(root, [])
-        articles = [root]
+    kept = _PARTS if articles else frozenset()
+    articles = articles or [root]
     blocks: list[str] = []
     held: list[str] = []
 
@@ -208,7 +251,7 @@ def main_text(text: str, templates: set[int]) -> str:
                 held.append(n)
             elif n.tag == "br":
                 held.append(" ")
-            elif n is not article and (n.skip or (templates and n.hash in templates and n.tag in _BLOCK)):
+            elif n is not article and (n.skip or (templates and n.hash in templates and n.tag in _BLOCK and n.tag not in kept)):
                 if n.tag in _BLOCK:
                     close()
                 else:
@@ -232,23 +275,35 @@ def templates(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in B.small_batches(batches):
-            keys, hosts, hashes = [], [], []
+            found = []
             for k, url, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = page_subtrees(text) if text else ()
+                whole, own = page_subtrees(text) if text else (0, {})
                 host = _host(url)
                 # A row with hash 0 stands for the page itself.
-                for h in (0, *own):
-                    keys.append(k)
-                    hosts.append(host)
-                    hashes.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["k", "host", "h"])
-
-    rows = pages.mapInArrow(run, "k long, host string, h long").select("k", F.xxhash64("host").alias("host"), "h")
-    rows = Scratch(pages.sparkSession, "subtrees").save(rows.distinct())
-    counts = rows.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= MANY)
+                found.append((k, host, 0, whole, 0, 0, 0))
+                found.extend((k, host, h, content, *n) for (h, content), n in own.items())
+            types = (pa.int64(), pa.string(), *[pa.int64()] * 5)
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(types)], names=["k", "host", "h", "content", "total", "chars", "alone"])
+
+    scratch = Scratch(pages.sparkSession, "subtrees")
+    rows = pages.mapInArrow(run, "k long, host string, h long, content long, total long, chars long, alone long")
+    rows = scratch.save(rows.withColumn("host", F.xxhash64("host")))
+    counts = scratch.save(rows.groupBy("host", "h").agg(F.count_distinct("content").alias("n")).where(F.col("n") >= MANY))
+    held = rows.join(counts.where("h <> 0").select("host", "h"), ["host", "h"], "left_semi")
+    held = scratch.save(held.groupBy("k", "host").agg(F.collect_set(F.struct("h", "content", "total", "chars", "alone")).alias("found")))
+    scratch.drop(rows)
+
+    def evidence(x):
+        # The content's text that is in no common subtree, against all of it outside this one.
+        shared = F.aggregate(F.filter("found", lambda y: y["content"] == x["content"]), F.lit(0).cast("long"), lambda n, y: n + y["alone"])
+        return (x["chars"] == 0) | (x["total"] - shared >= OWN * (x["total"] - x["chars"]))
+
+    seen = held.select("host", F.explode(F.filter("found", evidence)).alias("x")).select("host", "x.h", "x.content")
     sizes = counts.where("h = 0").select("host", F.col("n").alias("pages"))
-    common = counts.where("h <> 0").join(sizes, "host").where(F.col("n") >= SHARE * F.col("pages")).select("host", "h")
-    return rows.join(common, ["host", "h"], "left_semi").groupBy("k").agg(F.collect_list("h").alias("templates"))
+    common = seen.groupBy("host", "h").agg(F.count_distinct("content").alias("n")).join(sizes, "host").where((F.col("n") >= MANY) & (F.col("n") >= SHARE * F.col("pages"))).select("host", "h")
+    common = scratch.save(common)
+    rows = held.select("k", "host", F.explode("found.h").alias("h"))
+    return scratch.save(rows.join(common, ["host", "h"], "left_semi").groupBy("k").agg(F.collect_set("h").alias("templates")))
 
 
 def extracted(spark: SparkSession, pages: DataFrame, keep: list[str]) -> DataFrame:
@@ -257,7 +312,7 @@ def extracted(spark: SparkSession, pages: DataFrame, keep: list[str]) -> DataFra
     given = with_columns_free(pages, "k", "templates")
     key = F.xxhash64("url", "html").alias("k")
     found = templates(given.select(key, F.col("url").cast("string"), F.col("html").cast("string")))
-    rows = given.select(*keep, key, F.col("html").cast("string").alias("_html")).join(found, "k", "left").select(*keep, "_html", "templates")
+    rows = given.select(*keep, key, F.col("html").cast("string").alias("_html")).join(found.hint("merge"), "k", "left").select(*keep, "_html", "templates")
     n = len(keep)
 
     def run(batches):
