@@ -2,8 +2,8 @@
 
 Every page is parsed into a tree. The hashes of its block subtrees (tag, marks and
 text, from the leaves up) are counted per host in Spark, inside and outside articles; a
-subtree in at least ``MANY`` different articles and ``SHARE`` of those of a host is the
-site's template and is deleted. Copies of an article count once, and near copies not at
+subtree in at least ``MANY`` different articles of a host, however large the host, is
+the site's template and is deleted. Copies of an article count once, and near copies not at
 all: an article is evidence for a subtree if at least ``OWN`` of its other text is in
 blocks that do not recur. Inside an article, lists and tables are judged whole, and
 headings with the section they stand in. What elements and class names mark as menus,
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from . import bytetext as B
 from .storage import Scratch, with_columns_free
 
-#: Articles, and share of a host's articles, that make a subtree a template.
-MANY, SHARE = 10, 0.2
+#: Different articles of a host that make a subtree a template.
+MANY = 10
 #: Share of an article's other text that does not recur, for it to be evidence.
 OWN = 0.5
 
@@ -188,8 +188,8 @@ def _lengths(top: Node, units: set[int]) -> dict[int, tuple[int, int]]:
     return out
 
 
-def page_subtrees(text: str) -> tuple[int, dict[tuple[int, int], tuple[int, int, int]]]:
-    """The page's content, and by (subtree, content it stands in) characters of the content, the subtree, and the subtree alone.
+def page_subtrees(text: str) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """By (subtree, content it stands in) characters of the content, the subtree, and the subtree alone.
 
     The content is the hash of the article, or of the page without one. Subtrees that are not in the text have no characters.
     """
@@ -221,7 +221,7 @@ def page_subtrees(text: str) -> tuple[int, dict[tuple[int, int], tuple[int, int,
         one, alone = lengths.get(id(n), (0, 0))
         _, s, d = out.get((n.hash, content), (0, 0, 0))
         out[n.hash, content] = (totals[content] if a else 0, s + one, d + alone)
-    return whole, out
+    return out
 
 
 def main_text(text: str, templates: set[int]) -> str:
@@ -277,10 +277,8 @@ def templates(pages: DataFrame) -> DataFrame:
         for batch in B.small_batches(batches):
             found = []
             for k, url, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                whole, own = page_subtrees(text) if text else (0, {})
+                own = page_subtrees(text) if text else {}
                 host = _host(url)
-                # A row with hash 0 stands for the page itself.
-                found.append((k, host, 0, whole, 0, 0, 0))
                 found.extend((k, host, h, content, *n) for (h, content), n in own.items())
             types = (pa.int64(), pa.string(), *[pa.int64()] * 5)
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(types)], names=["k", "host", "h", "content", "total", "chars", "alone"])
@@ -288,8 +286,11 @@ def templates(pages: DataFrame) -> DataFrame:
     scratch = Scratch(pages.sparkSession, "subtrees")
     rows = pages.mapInArrow(run, "k long, host string, h long, content long, total long, chars long, alone long")
     rows = scratch.save(rows.withColumn("host", F.xxhash64("host")))
-    counts = scratch.save(rows.groupBy("host", "h").agg(F.count_distinct("content").alias("n")).where(F.col("n") >= MANY))
-    held = rows.join(counts.where("h <> 0").select("host", "h"), ["host", "h"], "left_semi")
+
+    def recurring(df: DataFrame) -> DataFrame:
+        return df.groupBy("host", "h").agg(F.count_distinct("content").alias("n")).where(F.col("n") >= MANY).select("host", "h")
+
+    held = rows.join(recurring(rows), ["host", "h"], "left_semi")
     held = scratch.save(held.groupBy("k", "host").agg(F.collect_set(F.struct("h", "content", "total", "chars", "alone")).alias("found")))
     scratch.drop(rows)
 
@@ -299,9 +300,7 @@ def templates(pages: DataFrame) -> DataFrame:
         return (x["chars"] == 0) | (x["total"] - shared >= OWN * (x["total"] - x["chars"]))
 
     seen = held.select("host", F.explode(F.filter("found", evidence)).alias("x")).select("host", "x.h", "x.content")
-    sizes = counts.where("h = 0").select("host", F.col("n").alias("pages"))
-    common = seen.groupBy("host", "h").agg(F.count_distinct("content").alias("n")).join(sizes, "host").where((F.col("n") >= MANY) & (F.col("n") >= SHARE * F.col("pages"))).select("host", "h")
-    common = scratch.save(common)
+    common = scratch.save(recurring(seen))
     rows = held.select("k", "host", F.explode("found.h").alias("h"))
     return scratch.save(rows.join(common, ["host", "h"], "left_semi").groupBy("k").agg(F.collect_set("h").alias("templates")))
 
