@@ -9,7 +9,10 @@ letters stay letters of their case and script, a valid check digit stays valid,
 given name stays a name of the title's gender.
 
 Distinctness is checked over the whole corpus: values whose surrogates meet each other
-or an existing value draw again, smallest value first, until none do.
+or an existing value draw again, smallest value first, until none do. From the draw
+``WIDE`` on the space they draw from grows, by characters or, for IPv4 addresses that
+are not public, by larger reserved ranges, so that no kind of few values runs out; if
+values still meet after all rounds, it is an error and nothing is written.
 
 Scale: one pass finds the distinct values, which are few next to the text; the check
 is a shuffle of those; a second pass rewrites each text where it stands. Only the
@@ -39,6 +42,8 @@ from .storage import Scratch, with_columns_free
 DEMO_KEY = b"not a secret"
 #: Redrawn values that are broadcast at most.
 SENT = 50_000
+#: The draw from which surrogates may leave the format's small spaces.
+WIDE = 8
 
 # Titles by gender, and syllables and given names by script.
 _MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "г-н", "Κύριος")
@@ -163,8 +168,23 @@ def _like(text: str, s: _Stream) -> str:
     return "".join(out)
 
 
+def _reserved(value: str, draw: int, s: _Stream) -> str:
+    """Another address that is not public, as near as the draw allows."""
+    if draw >= 2 * WIDE:
+        return f"{240 + s.below(15)}.{'.'.join(str(s.below(256)) for _ in range(3))}"
+    if draw >= WIDE:
+        return f"10.{'.'.join(str(s.below(256)) for _ in range(3))}"
+    parts = value.split(".")
+    if value.startswith(("192.0.0.", "192.0.2.", "198.51.100.", "203.0.113.")):
+        # The rest of these /16 is public.
+        return f"{'.'.join(parts[:3]) if parts[:3] != ['192', '0', '0'] else '192.0.2'}.{1 + s.below(254)}"
+    fixed = 1 if parts[0] in ("10", "127") else 2
+    return ".".join([*parts[:fixed], *(str(1 + s.below(254)) for _ in range(4 - fixed))])
+
+
 def surrogate(key: bytes, kind: str, value: str, draw: int = 0) -> str:
     """The canonical surrogate of a canonical value; never the value itself."""
+    more = max(0, draw.bit_length() - WIDE.bit_length() + 1)
     for turn in range(1000):
         s = _Stream(key, kind, value, draw * 1000 + turn)
         if kind == "email":
@@ -173,14 +193,14 @@ def surrogate(key: bytes, kind: str, value: str, draw: int = 0) -> str:
             keep = 2 if len(labels) > 2 else 1
             # The domain has a surrogate of its own, so that colleagues stay colleagues.
             d = _Stream(key, "domain", domain, 0)
-            out = f"{_like(local, s)}@{'.'.join([*(_like(x, d) for x in labels[:-keep]), *labels[-keep:]])}"
+            out = f"{_like(local, s)}{_like('x' * more, s)}@{'.'.join([*(_like(x, d) for x in labels[:-keep]), *labels[-keep:]])}"
         elif kind == "ipv4":
-            old = ipaddress.ip_address(value)
-            parts = value.split(".")
-            fixed = 1 if value.startswith(("10.", "127.")) else 2 if old.is_private else 0
-            out = ".".join([*parts[:fixed], *(str(1 + s.below(223 if i == 0 and not fixed else 254)) for i in range(4 - fixed))])
-            if ipaddress.ip_address(out).is_private != old.is_private:
-                continue
+            if ipaddress.ip_address(value).is_private:
+                out = _reserved(value, draw, s)
+            else:
+                out = ".".join(str(1 + s.below(254 if i else 223)) for i in range(4))
+                if ipaddress.ip_address(out).is_private:
+                    continue
         elif kind == "card":
             out = value[0] + _like(value[1:-1], s)
             check = (10 - _luhn(out + "0")) % 10
@@ -189,25 +209,26 @@ def surrogate(key: bytes, kind: str, value: str, draw: int = 0) -> str:
             out = f"{900 + s.below(100)}{_like(value[3:], s)}"
         elif kind == "phone":
             keep = max(0, len(value) - 10)
-            out = value[:keep] + _like(value[keep:], s)
+            out = value[:keep] + _like(value[keep:] + "0" * more, s)
         elif kind == "iban":
             body = _like(value[4:], s)
             rest = int("".join(str(int(c, 36)) for c in body + value[:2] + "00"))
             out = f"{value[:2]}{98 - rest % 97:02d}{body}"
         elif kind == "access":
             prefix = re.match(r"AKIA|ASIA|gh[po]_|sk-|xoxb-", value)[0]
-            out = prefix + _like(value[len(prefix) :], s)
+            out = prefix + _like(value[len(prefix) :] + value[-1:] * more, s)
         elif kind.startswith("given"):
             script, gender = _script(value), kind.partition(":")[2]
             names = [n for g in gender for n in _GIVEN.get((script, g), ())]
             # More people than names: a draw beyond the first adds a syllable.
-            out = names[s.below(len(names))].lower() if names else _like(value, s)
+            out = names[s.below(len(names))].lower() if names else _like(value + value[-1:] * more, s)
             out += "".join(_SYLLABLES[script][s.below(len(_SYLLABLES[script]))] for _ in range(draw and 1 + draw.bit_length() // 2)) if names else ""
         elif kind == "surname" and _script(value) in _SYLLABLES:
             parts = _SYLLABLES[_script(value)]
             out = "".join(parts[s.below(len(parts))] for _ in range(3 + draw.bit_length() // 2))
         else:
             out = _like(value, s)
+            out += _like("x" * more, s) if kind == "secret" else _like(value[-1:] * more, s)
         if out != value:
             return out
     raise ValueError(f"no surrogate for a value of kind {kind}: nothing in it can change")
@@ -217,7 +238,7 @@ def _shaped(out: str, like: str, kind: str) -> str:
     """A canonical surrogate with the separators and case of one occurrence."""
     if kind in ("phone", "card", "ssn", "iban"):
         rest = iter(out)
-        return "".join(next(rest) if c.isalnum() else c for c in like)
+        return "".join([*(next(rest) if c.isalnum() else c for c in like), *rest])
     if kind.startswith("given") or kind == "surname":
         return out.upper() if like.isupper() and len(like) > 1 else out[0].upper() + out[1:]
     if kind == "email" and like != like.lower():
@@ -261,7 +282,7 @@ def _drawn(values: DataFrame, key: bytes) -> DataFrame:
     return values.select("kind", "value", "draw").mapInArrow(run, "kind string, value string, draw int, out string")
 
 
-def redrawn_values(values: DataFrame, key: bytes, scratch: Scratch, rounds: int = 30) -> DataFrame:
+def redrawn_values(values: DataFrame, key: bytes, scratch: Scratch, rounds: int = 500) -> DataFrame:
     """(kind, value, draw) of the values whose first surrogate met another surrogate or a value."""
     group = F.split("kind", ":")[0]
     now = scratch.save(_drawn(values.withColumn("draw", F.lit(0)), key))
@@ -275,6 +296,8 @@ def redrawn_values(values: DataFrame, key: bytes, scratch: Scratch, rounds: int
         new = _drawn(again.withColumn("draw", F.col("draw") + 1), key)
         last, now = now, scratch.save(now.join(again, ["kind", "value"], "left_anti").unionByName(new))
         scratch.drop(last, again)
+    else:
+        raise RuntimeError(f"values still share surrogates after {rounds} rounds")
     return now.where("draw > 0").select("kind", "value", "draw")
 
 

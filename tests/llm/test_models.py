@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 import itertools
 import math
 import random
@@ -214,3 +215,18 @@ def test_redrawn_values_by_join(spark, monkeypatch):
     a = {r.doc_id: r.text for r in surrogates.pseudonymised(spark, texts).collect()}
     monkeypatch.setattr(surrogates, "SENT", -1)
     assert {r.doc_id: r.text for r in surrogates.pseudonymised(spark, texts).collect()} == a
+
+
+def test_surrogates_of_small_spaces_are_distinct(spark):
+    from auditspark.llm.storage import Scratch
+
+    values = [("ipv4", f"{net}.{i}") for net in ("203.0.113", "198.51.100") for i in range(250)] + [("email", f"{c}@a.example") for c in "abcdefghijklmnopqrstuvwxyz"]
+    values += [("secret", f"{i:04d}") for i in range(10_000)]
+    given = spark.createDataFrame(values, "kind string, value string")
+    redrawn = {(r.kind, r.value): r.draw for r in surrogates.redrawn_values(given, b"k", Scratch(spark, "t")).collect()}
+    outs = [(k, surrogates.surrogate(b"k", k, v, redrawn.get((k, v), 0))) for k, v in values]
+    assert len(set(outs)) == len(values) and not set(outs) & set(values)
+    assert all(ipaddress.ip_address(x).is_private for k, x in outs if k == "ipv4")
+    # Narrow reserved ranges are met at once, never given up.
+    assert all("*" not in surrogates.rewrite(f"at 192.0.0.{i} now", b"k", {}, {})[0] for i in range(8))
+    assert surrogates._shaped("1234567", "12-34-56", "phone") == "12-34-567"
