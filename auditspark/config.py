@@ -96,5 +96,9 @@ ABLATIONS: dict[str, tuple[str, ...]] = {
     "no_riskB": ("association_risk",),
     "no_regimesC": ("missingness",),
     "no_entity_memory": ("entity_memory",),
+    "no_monotoneD": (),
     "behaviour_only": ("association_risk", "missingness", "entity_memory"),
 }
+
+#: Ablations whose monotone model is fitted without its constraints.
+UNCONSTRAINED = ("no_monotoneD", "behaviour_only")

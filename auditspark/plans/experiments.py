@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.config import ABLATIONS, CONFIG, DAY, LADDER, Rung
+from auditspark.config import ABLATIONS, CONFIG, DAY, LADDER, UNCONSTRAINED, Rung
 from auditspark.functions.scalar import assert_label_free, family
 from auditspark.operators import entities as E
 from auditspark.operators import metrics as M
@@ -84,26 +84,59 @@ def features(p: Prepared, f: Fold, latency: int, past_only: bool = True, drop: S
     return wide.where("_train").drop("_train"), wide.where("not _train").drop("_train"), names
 
 
-def scored(train: DataFrame, test: DataFrame, names: Sequence[str], model: str, seed: int, rounds: int = 20) -> DataFrame:
-    """``test`` with ``score`` from a baseline or, for ``monotone``, the constrained ensemble."""
+def resampled(train: DataFrame, test: DataFrame, names: Sequence[str], how: str, seed: int) -> DataFrame:
+    """``train`` with synthetic positives: between positives of all rows ("before" the split), of ``train`` ("inside"), or none."""
+    if how == "none":
+        return train
+    rows = train.unionByName(test) if how == "before" else train
+    medians = rows.where("y = 1").select(*(F.percentile_approx(c, 0.5).alias(c) for c in names)).first()
+    filled = F.array(*(F.coalesce(F.col(c), F.lit(float(medians[c] or 0.0))) for c in names)).cast("array<double>")
+    made = ML.oversampled(rows.withColumn("vector", filled), seed=seed).where("synthetic")
+    return train.unionByName(made.select("row_id", F.col("y").cast(train.schema["y"].dataType).alias("y"), *(F.col("vector")[i].alias(c) for i, c in enumerate(names))), allowMissingColumns=True)
+
+
+def with_regimes(p: Prepared, f: Fold, train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with ``regime``, from the training rows' null patterns; null without blocks and for synthetic rows."""
+    if not p.blocks:
+        return tuple(df.withColumn("regime", F.lit(None).cast("int")) for df in (train, test))
+    regimes = saved(R.retained(R.patterns(f.train, p.blocks)), "regimes")
+    return tuple(df.join(R.assigned(of, p.blocks, regimes).select("row_id", "regime"), "row_id", "left") for df, of in ((train, f.train), (test, f.test)))
+
+
+def scored(train: DataFrame, test: DataFrame, names: Sequence[str], model: str, seed: int, rounds: int = 20, enforce: bool = True) -> DataFrame:
+    """``test`` with ``score`` from a baseline or, for ``monotone``, the constrained ensemble.
+
+    The ensemble's rows also have ``calibrated``, by regime, from its scores of the training rows.
+    """
     if model != "monotone":
         return ML.fit_score(train, test, names, model, seed)
     rising = [c for c in names if c.startswith("risk_") or c in ("mem_known_compromised", "mem_prior_fraud_count")]
-    return G.fit(train, names, rising, rounds).transform(test)
+    fitted = G.fit(train, names, rising if enforce else (), rounds)
+    return ML.isotonic(saved(fitted.transform(train).select("regime", "score", "y"), "raw"), saved(fitted.transform(test), "raw"))
 
 
-def run_fold(p: Prepared, f: Fold, model: str, seed: int, latency: int, past_only: bool = True, drop: Sequence[str] = ()) -> dict:
+def run_fold(p: Prepared, f: Fold, model: str, seed: int, latency: int, past_only: bool = True, drop: Sequence[str] = (), resample: str = "none", enforce: bool = True, tuning: int = 0) -> dict:
     """One row of metrics; an error becomes a row that says so."""
     began = time.perf_counter()
     try:
         train, test, names = features(p, f, latency, past_only, drop)
         known = train.select("entity").distinct().withColumn("_k", F.lit(True))
-        rows = scored(train, test, names, model, seed, p.rounds).join(known, "entity", "left").withColumn("is_cold", F.col("_k").isNull()).drop("_k")
-        rows = saved(rows, "scored")
-        out = M.evaluated(rows, "score").first().asDict()
+        fitted = resampled(train, test, names, resample, seed)
+        if resample != "none":
+            fitted = saved(fitted, "resampled")
+        if tuning and model != "monotone":
+            # Synthetic rows have no time; settings are chosen on the rows that have.
+            parameters = ML.tuned(train, names, model, tuning, seed)
+            rows = ML.fit_score(fitted, test, names, model, seed, parameters=parameters)
+        else:
+            if model == "monotone":
+                fitted, test = with_regimes(p, f, fitted, test)
+            rows = scored(fitted, test, names, model, seed, p.rounds, enforce)
+        rows = saved(rows.join(known, "entity", "left").withColumn("is_cold", F.col("_k").isNull()).drop("_k"), "scored")
+        out = M.evaluated(rows, "calibrated" if "calibrated" in rows.columns else "score").first().asDict()
         if "is_index" in rows.columns:
             out |= M.time_to_detection(rows).first().asDict()
-        out |= {"n_features": len(names), "n_train": train.count()}
+        out |= {"n_features": len(names), "n_train": train.count(), "n_synthetic": fitted.count() - train.count() if resample != "none" else 0}
     except Exception as e:  # noqa: BLE001  the grid goes on
         out = {"error": str(e)[:300]}
     return out | {"model": model, "seed": seed, "start": f.start, "seconds": time.perf_counter() - began}
@@ -127,9 +160,9 @@ def _run_rung(p: Prepared, rung: Rung, model: str, seeds: Sequence[int], at_most
             for k in range(3 if at_most is None else at_most):
                 own = splits.where(F.col("split") == k)
                 f = Fold(k, p.rows.join(own.where("role = 'train'").select("row_id"), "row_id"), p.rows.join(own.where("role = 'test'").select("row_id"), "row_id"))
-                rows.append(run_fold(p, f, model, seed, rung.latency, rung.past_only) | {"rung": rung.key})
+                rows.append(run_fold(p, f, model, seed, rung.latency, rung.past_only, resample=rung.resample) | {"rung": rung.key})
         else:
-            rows += [run_fold(p, f, model, seed, rung.latency, rung.past_only) | {"rung": rung.key} for f in folds(p, rung.latency, rung.entity_disjoint, at_most)]
+            rows += [run_fold(p, f, model, seed, rung.latency, rung.past_only, resample=rung.resample) | {"rung": rung.key} for f in folds(p, rung.latency, rung.entity_disjoint, at_most)]
     return rows
 
 
@@ -138,14 +171,14 @@ def ladder(p: Prepared, model: str = "gbt", seeds: Sequence[int] = CONFIG.seeds,
     return table(p.rows, [r for g in rungs for r in _run_rung(p, g, model, seeds, at_most)])
 
 
-def main_comparison(p: Prepared, models: Sequence[str], seeds: Sequence[int] = CONFIG.seeds, latency: int = CONFIG.headline_latency, at_most: int | None = None) -> DataFrame:
-    """T3 and, with its seconds, T7: models on the same matured, disjoint folds."""
-    return table(p.rows, [run_fold(p, f, m, s, latency) for f in folds(p, latency, True, at_most) for m in models for s in seeds])
+def main_comparison(p: Prepared, models: Sequence[str], seeds: Sequence[int] = CONFIG.seeds, latency: int = CONFIG.headline_latency, at_most: int | None = None, tuning: int = 0) -> DataFrame:
+    """T3 and, with its seconds, T7: models on the same matured, disjoint folds; ``tuning`` settings are tried for each baseline."""
+    return table(p.rows, [run_fold(p, f, m, s, latency, tuning=tuning) for f in folds(p, latency, True, at_most) for m in models for s in seeds])
 
 
-def ablation(p: Prepared, model: str = "gbt", seeds: Sequence[int] = CONFIG.seeds, latency: int = CONFIG.headline_latency, at_most: int | None = None) -> DataFrame:
-    """T4: without one family of features at a time."""
-    rows = [run_fold(p, f, model, s, latency, drop=d) | {"ablation": k} for f in folds(p, latency, True, at_most) for k, d in ABLATIONS.items() for s in seeds]
+def ablation(p: Prepared, model: str = "monotone", seeds: Sequence[int] = CONFIG.seeds, latency: int = CONFIG.headline_latency, at_most: int | None = None) -> DataFrame:
+    """T4: without one family of features, or the constraints, at a time."""
+    rows = [run_fold(p, f, model, s, latency, drop=d, enforce=k not in UNCONSTRAINED) | {"ablation": k} for f in folds(p, latency, True, at_most) for k, d in ABLATIONS.items() for s in seeds]
     return table(p.rows, rows)
 
 

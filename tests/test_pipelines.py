@@ -86,6 +86,21 @@ def test_experiment_tables(spark):
     assert set(random_split["rung"]) == {"rung0"} and random_split["auprc"].notna().all(), random_split
 
 
+def test_experiments_resample_calibrate_and_ablate(spark):
+    p = prepared(spark)
+    p.rounds = 2
+    # Few enough positives that some are made up.
+    p.rows = p.rows.withColumn("y", F.when(F.col("row_id") % 6 == 0, F.col("y")).otherwise(F.lit(0).cast(p.rows.schema["y"].dataType))).persist()
+    t1 = X.ladder(p, "logreg", seeds=[0], rungs=LADDER[:2], at_most=1).toPandas().set_index("rung")
+    assert t1.loc["rung0", "n_synthetic"] > 0 == t1.loc["rung1", "n_synthetic"] and t1.loc["rung0", "auprc"] != t1.loc["rung1", "auprc"], t1
+    f = next(X.folds(p, 0, True, 1))
+    train, test, names = X.features(p, f, 0)
+    out = X.scored(*X.with_regimes(p, f, train, test), names, "monotone", 0, 2)
+    assert out.count() == test.count() and out.where("calibrated between 0 and 1 and calibrated <> score").count() > 0
+    assert "auprc" in X.run_fold(p, f, "monotone", 0, 0, enforce=False) and "auprc" in X.run_fold(p, f, "logreg", 0, 0, tuning=1)
+    assert set(X.ABLATIONS) == {"full", "no_riskB", "no_regimesC", "no_entity_memory", "no_monotoneD", "behaviour_only"}
+
+
 def test_explanations(spark):
     p = prepared(spark)
     p.rounds = 2
