@@ -63,7 +63,7 @@ _SYLLABLES = {
     "greek": ("βαλ", "γαρ", "δελ", "καλ", "λεν", "μαρ", "νικ", "παν", "ραν", "σολ", "ταρ", "φιλ"),
 }
 
-_EMAIL_LEFT = re.compile(r"[\w.%+-]+\Z")
+_LOCAL = re.compile(r"[\w.%+-]")
 _EMAIL_RIGHT = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}")
 _NUMBER = re.compile(r"(?<![\w@])(?<!\d[.,-])[+(]*\d[\d ().+-]{5,}\d(?![\w@])")
 _IPV4 = re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)")
@@ -95,9 +95,12 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     found: list[tuple[int, int, str, str]] = []
     at = text.find("@")
     while at >= 0:
-        left, right = _EMAIL_LEFT.search(text, max(0, at - 64), at), _EMAIL_RIGHT.match(text, at + 1)
-        if left and right:
-            found.append((left.start(), right.end(), "email", f"{left[0]}@{right[0]}".lower()))
+        if right := _EMAIL_RIGHT.match(text, at + 1):
+            left = at
+            while left and _LOCAL.match(text, left - 1):
+                left -= 1
+            if left < at:
+                found.append((left, right.end(), "email", text[left : right.end()].lower()))
         at = text.find("@", at + 1)
     for m in _SECRET.finditer(text) if "=" in text or ":" in text else ():
         g = next(i for i in (1, 2, 3) if m[i] is not None)

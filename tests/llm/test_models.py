@@ -230,3 +230,10 @@ def test_surrogates_of_small_spaces_are_distinct(spark):
     # Narrow reserved ranges are met at once, never given up.
     assert all("*" not in surrogates.rewrite(f"at 192.0.0.{i} now", b"k", {}, {})[0] for i in range(8))
     assert surrogates._shaped("1234567", "12-34-56", "phone") == "12-34-567"
+
+
+def test_long_local_parts_are_replaced_whole():
+    texts = [f"to {c}{'y' * 100}@mail.example.com now" for c in "pq"]
+    assert [[x[:2] for x in surrogates.find(t)] for t in texts] == [[(3, 121)]] * 2
+    a, b = (surrogates.rewrite(t, b"k", {}, {})[0] for t in texts)
+    assert a != b and "yyy" not in a
