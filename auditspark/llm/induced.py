@@ -98,20 +98,24 @@ class _Buckets:
             self._scatter(sa, p, at, sign)
 
 
-def suffix_array(data: np.ndarray) -> np.ndarray:
-    """Suffix array of a byte array; a suffix sorts before those it is a prefix of."""
+def suffix_array(data: np.ndarray, apart: np.ndarray = ()) -> np.ndarray:
+    """Suffix array of a byte array; a suffix sorts before those it is a prefix of.
+
+    At the positions ``apart`` stands a symbol below all 256 bytes, whatever ``data`` has there.
+    """
     n = len(data)
     if n == 0:
         return np.empty(0, np.int64)
     text = np.zeros(n + 1, np.int64)
-    text[:n] = data.astype(np.int64) + 1
+    text[:n] = data.astype(np.int64) + 2
+    text[np.asarray(apart, np.int64)] = 1
     step = np.sign(np.diff(text))
     differs = np.flatnonzero(step)
     small = np.ones(n + 1, bool)
     small[:n] = step[differs[np.searchsorted(differs, np.arange(n))]] > 0
     is_lms = np.concatenate(([False], small[1:] & ~small[:-1]))
     lms = np.flatnonzero(is_lms)
-    buckets = _Buckets(text, small, 257)
+    buckets = _Buckets(text, small, 258)
     if len(lms) > 1:
         sa = buckets.induce(lms)
         ordered = sa[is_lms[sa]]

@@ -224,19 +224,40 @@ def brute_removed(items, length):
 
 
 @pytest.mark.parametrize("hot", [4096, 1])
-def test_byte_strings_against_brute_force(spark, hot):
+@pytest.mark.parametrize("letters", ["abcd ", "\0ab\n", "\0\x01"])
+def test_byte_strings_against_brute_force(spark, hot, letters):
     r = random.Random(6)
-    common = "abcdefghijklmnopqrstuvwxyz0123456789" * 2
-    items = [(100, None), (101, ""), (102, "é" * 60), (103, "é" * 60), (104, "short")]
+    common = "abcdefghijklmnopqrstuvwxyz0123\x00456789" * 2
+    items = [(100, None), (101, ""), (102, "é" * 60), (103, "é" * 60), (104, "short"), (105, "\0" * 90), (106, "\0" * 40)]
     for i in range(50):
-        t = "".join(r.choice("abcd ") for _ in range(r.randint(0, 80)))
-        t += common[: r.randint(30, 60)] + "".join(r.choice("ab") for _ in range(r.randint(0, 40))) if i % 2 else ""
+        t = "".join(r.choice(letters) for _ in range(r.randint(0, 80)))
+        t += common[: r.randint(30, 60)] + "".join(r.choice(letters[:2]) for _ in range(r.randint(0, 40))) if i % 2 else ""
         items.append((i, t + "xyxy" * r.randint(5, 30) * (i % 7 == 0)))
+    copy = "".join(r.choice("abcdef") for _ in range(200))
+    items += [(200 + i, copy + "".join(r.choice("abcdef") for _ in range(i % 3 * 30))) for i in range(40)]
+    # Rows repeated as they are, and a period met once in one text and often in another.
+    items += [(300, copy[:80])] * 3 + [(301, "0123456789" * 12), (302, "0123456789" * 3)]
     df = spark.createDataFrame(items, "doc_id long, text string").withColumn("n_removed", F.lit("x"))
     found = suffix_dedup.deduplicated(spark, df, ["doc_id", "n_removed"], length=24, gram=6, hot=hot).withColumn("s", F.sha2("kept_bytes", 256))
     assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.s) for x in found.collect()} == brute_removed(items, 24)
 
 
+def test_byte_strings_of_texts_beyond_a_chunk(spark):
+    r = random.Random(8)
+    long_ = "".join(r.choice("abcdefgh \n") for _ in range(B.CHUNK_BYTES + 5000))
+    items = [(1, long_ + long_[7:900]), (2, "x" + long_[B.CHUNK_BYTES - 100 : B.CHUNK_BYTES + 600]), (3, "y" * 500), (4, long_[:399])]
+    found = suffix_dedup.deduplicated(spark, spark.createDataFrame(items, "doc_id long, text string"), ["doc_id"]).withColumn("s", F.sha2("kept_bytes", 256))
+    assert {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.s) for x in found.collect()} == brute_removed(items, 400)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.binary(max_size=20).map(lambda b: bytes((0, 10, 97)[x % 3] for x in b)), min_size=1, max_size=6))
+def test_repeated_windows_of_any_bytes(parts):
+    seen = Counter(p[k : k + 3] for p in parts for k in range(len(p) - 2))
+    want = {(i, k) for i, p in enumerate(parts) for k in range(len(p) - 2) if seen[p[k : k + 3]] > 1}
+    assert {(i, k) for i, a, b in suffix_dedup.repeated_windows(parts, 3) for k in range(a, b + 1)} == want
+
+
 def test_byte_strings_of_nothing(spark, empty, docs):
     assert suffix_dedup.deduplicated(spark, empty, ["doc_id"]).count() == 0
     twice = suffix_dedup.deduplicated(spark, docs.union(docs), ["doc_id"])
@@ -244,7 +265,7 @@ def test_byte_strings_of_nothing(spark, empty, docs):
 
 
 @settings(max_examples=80, deadline=None)
-@given(st.binary(max_size=60).map(lambda b: bytes(x % 3 + 97 for x in b)))
+@given(st.binary(max_size=60).map(lambda b: bytes((0, 97, 255)[x % 3] for x in b)))
 def test_suffix_array_and_prefixes(text):
     data = np.frombuffer(text, np.uint8)
     sa = induced.suffix_array(data)
