@@ -7,8 +7,10 @@ the site's template and is deleted. Copies of an article count once, and near co
 all: an article is evidence for a subtree if at least ``OWN`` of its other text is in
 blocks that do not recur. Inside an article, lists and tables are judged whole, and
 headings with the section they stand in. What elements and class names mark as menus,
-notices, adverts, forms, comments and the like is deleted too. The blocks of the
-article, or of what is left of the body where a page has none, are the text.
+notices, adverts, forms, comments and the like is deleted too; inside an article only
+elements of these kinds and classes that name one of them outright count, so that no
+other part of it is lost for its class. The blocks of the article, or of what is left
+of the body where a page has none, are the text.
 
 Scale: the counts travel as (host, hash) rows with partial sums, so a host with a third
 of all pages is no hot spot; no host's templates are ever gathered: they are joined
@@ -39,13 +41,14 @@ MANY = 10
 OWN = 0.5
 
 # HTML element names by role.
-_RAW = frozenset("script style noscript template textarea title svg math iframe object select canvas audio video".split())
+_RAW = frozenset("script style noscript template textarea title iframe select".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-_SKIP = frozenset("head nav footer aside form button menu dialog header label fieldset figcaption".split()) | _RAW
+_SKIP_INSIDE = frozenset("head nav footer aside form button menu dialog label fieldset desc metadata".split()) | _RAW
+_SKIP = _SKIP_INSIDE | {"header"}
 #: Judged with what they are parts of, inside an article.
 _PARTS = frozenset("li dt dd tr td th tbody thead tfoot caption option optgroup legend h1 h2 h3 h4 h5 h6 hgroup".split())
 _ENDS_P = _BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"}
@@ -56,6 +59,11 @@ _MARKED = re.compile(
     r"|login|search|form|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|paywall|pagination|pager|toolbar|skip|hidden|sr-only|copyright|legal|disclaimer|contentinfo)(?:$|[\s_\d-])",
     re.I,
 )
+#: Whole class names, ids and roles that mark what does not belong to the article it stands in.
+_MARKED_INSIDE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored ad-box ad-slot ad-banner comment comments commentlist comment-list comments-area reader-comments respond replies disqus_thread"
+    " nav navigation navbar menu breadcrumb breadcrumbs sidebar footer notice notices cookie-notice cookie-banner cookie-consent newsletter-form".split()
+)
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _MARKS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -64,10 +72,12 @@ _HOST = re.compile(r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 
 
 class Node:
-    __slots__ = ("children", "hash", "marks", "skip", "tag")
+    """``skip`` says that the element is none of a page's text, ``alien`` that it is none of the article's it stands in."""
+
+    __slots__ = ("alien", "children", "hash", "marks", "skip", "tag")
 
-    def __init__(self, tag: str, marks: str = "", skip: bool = False):
-        self.tag, self.marks, self.skip = tag, marks, skip
+    def __init__(self, tag: str, marks: str = "", skip: bool = False, alien: bool = False):
+        self.tag, self.marks, self.skip, self.alien = tag, marks, skip, alien
         self.children: list[Node | str] = []
         self.hash = 0
 
@@ -90,8 +100,10 @@ def _open(stack: list[Node], tag: str, attributes: str) -> None:
             if tag in ("td", "th") and stack[i].tag == "tr":
                 break
     marks = " ".join(m[2] or m[3] or m[4] or "" for m in _MARKS.finditer(attributes)) if attributes else ""
-    skip = tag in _SKIP or bool(marks and tag not in ("html", "body", "main") and _MARKED.search(marks)) or bool(attributes and _HIDDEN.search(attributes))
-    node = Node(tag, marks, skip)
+    hidden = bool(attributes and _HIDDEN.search(attributes))
+    skip = hidden or tag in _SKIP or bool(marks and tag not in ("html", "body", "main") and _MARKED.search(marks))
+    alien = hidden or tag in _SKIP_INSIDE or bool(marks and not _MARKED_INSIDE.isdisjoint(marks.lower().split()))
+    node = Node(tag, marks, skip, alien)
     stack[-1].children.append(node)
     if tag not in _VOID and not attributes.endswith("/"):
         stack.append(node)
@@ -116,7 +128,7 @@ def parse(text: str) -> Node:
                 if stack[i].tag in _BLOCK and tag not in _BLOCK:
                     break
         elif tag in _RAW:
-            stack[-1].children.append(Node(tag, "", True))
+            stack[-1].children.append(Node(tag, "", True, True))
             end = low.find(f"</{tag}", at) if not (m[3] or m[6] or "").endswith("/") else at
             if end < 0:
                 end = len(text)
@@ -172,13 +184,13 @@ def _kept_articles(root: Node) -> list[Node]:
     return []
 
 
-def _lengths(top: Node, units: set[int]) -> dict[int, tuple[int, int]]:
+def _lengths(top: Node, units: set[int], article: bool) -> dict[int, tuple[int, int]]:
     """By id of the nodes whose text is kept: characters, and those in no unit below the node."""
     out: dict[int, tuple[int, int]] = {}
     stack = [(top, False)]
     while stack:
         n, ready = stack.pop()
-        below = [c for c in n.children if not isinstance(c, str) and not c.skip]
+        below = [c for c in n.children if not isinstance(c, str) and not (c.alien if article else c.skip)]
         if not ready:
             stack.append((n, True))
             stack.extend((c, False) for c in below)
@@ -211,7 +223,7 @@ def page_subtrees(text: str) -> dict[tuple[int, int], tuple[int, int, int]]:
     lengths: dict[int, tuple[int, int]] = {}
     totals: dict[int, int] = {}
     for a in articles or [root]:
-        got = _lengths(a, units)
+        got = _lengths(a, units, bool(articles))
         totals[a.hash] = totals.get(a.hash, 0) + got[id(a)][0]
         lengths |= got
     out: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -230,7 +242,7 @@ def main_text(text: str, templates: set[int]) -> str:
     if templates:
         _hash(root, [])
     articles = _kept_articles(root)
-    kept = _PARTS if articles else frozenset()
+    inside, kept = bool(articles), _PARTS if articles else frozenset()
     articles = articles or [root]
     blocks: list[str] = []
     held: list[str] = []
@@ -251,7 +263,7 @@ def main_text(text: str, templates: set[int]) -> str:
                 held.append(n)
             elif n.tag == "br":
                 held.append(" ")
-            elif n is not article and (n.skip or (templates and n.hash in templates and n.tag in _BLOCK and n.tag not in kept)):
+            elif n is not article and ((n.alien if inside else n.skip) or (templates and n.hash in templates and n.tag in _BLOCK and n.tag not in kept)):
                 if n.tag in _BLOCK:
                     close()
                 else:

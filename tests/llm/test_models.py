@@ -141,6 +141,48 @@ def test_main_text():
     assert html_extract.main_text("<p>a < b && c <!-- x --> d</p><!-- open", set()) == "a < b && c d"
 
 
+def test_articles_lose_nothing_for_their_class_names():
+    kinds = "share-price legal side search form related copyright widget promo header".split()
+    parts = "".join(f'<div class="{k}">{k} text</div>' for k in kinds)
+    page = f"<body><header>site</header><article><header><h1>Head</h1></header>{parts}<figure><figcaption>caption</figcaption></figure><math><mi>x</mi></math><svg><title>t</title><text>label</text></svg>"
+    page += '<nav>menu</nav><aside>side</aside><form>f <input></form><div class="ad">buy</div><section id="comments">me too</section><p hidden>no</p><script>1</script><footer>foot</footer></article></body>'
+    assert html_extract.main_text(page, set()) == "\n\n".join(["Head", *(f"{k} text" for k in kinds), "caption", "x label"])
+
+
+def brute_templates(rows):
+    """By page: the texts of blocks that stand in at least MANY different contents of its host, counted plainly."""
+    met = {}
+    for url, text in {(u, t) for _, u, t in rows}:
+        for (h, content), _ in html_extract.page_subtrees(text).items():
+            met.setdefault((html_extract._host(url), h), set()).add(content)
+    common = {k for k, v in met.items() if len(v) >= html_extract.MANY}
+    return {k: {h for h, _ in html_extract.page_subtrees(t) if (html_extract._host(u), h) in common} for k, u, t in rows}
+
+
+def test_counts_alone_find_the_text_of_a_host_without_articles(spark):
+    """No article, no telling class or element: only how often subtrees recur on the host says what the text is."""
+    r = random.Random(3)
+    words = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    menu, foot = "<div><p>Home</p><p>About us</p></div>", "<div><div><p>All the news</p></div></div>"
+    own = {k: [words(25), words(12)] for k in range(24)}
+    rows = [(k, f"http://{'ab'[k % 2]}.example/{k}", f"<body>{menu if k % 2 == 0 else ''}<div><p>{own[k][0]}</p><p>{own[k][1]}</p></div>{foot}</body>") for k in own]
+    rows.append((99, "http://c.example/", f"<body>{menu}<div><p>alone</p></div>{foot}</body>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in html_extract.extracted(spark, pages, ["page_id"]).collect()}
+    assert all(got[k] == "\n\n".join(own[k]) for k in own)
+    assert got[99] == "Home\n\nAbout us\n\nalone\n\nAll the news"
+    brute = brute_templates(rows)
+    assert got == {k: html_extract.main_text(t, brute[k]) for k, _, t in rows}
+    assert got != {k: html_extract.main_text(t, set()) for k, _, t in rows}
+
+
+def test_very_long_pages_are_read_whole(spark):
+    body = "".join(f"<p>paragraph {k} {'x' * 400}</p>" for k in range(5000))
+    pages = spark.createDataFrame([(1, "http://a.example/", f"<article>{body}</article>"), (2, "http://a.example/", f"<body>{'<div>' * 3000}deep")], "page_id long, url string, html string")
+    got = {x.page_id: x for x in html_extract.extracted(spark, pages, ["page_id"]).collect()}
+    assert got[1].text.count("\n\n") == 4999 and got[1].n_chars == len(got[1].text) and got[2].text == "deep"
+
+
 def test_site_templates_are_removed(spark):
     r = random.Random(0)
     page = lambda k: f"<body><div><p>Welcome to the site, all rights reserved here</p></div><p>own {k} {r.random()}</p></body>"
