@@ -1,12 +1,14 @@
 """Personal data and secrets get keyed surrogates of the same kind and format.
 
-Detected: e-mail addresses, telephone numbers, IPv4 addresses, payment card numbers,
-social security numbers, IBANs, access keys, assigned secrets (``password=...``), and
-names after a title. A surrogate depends on a secret key, the kind and the canonical
-value only, so one value has one surrogate everywhere (coreference), whatever its
-separators or case at a place, which the surrogate takes over: digits stay digits,
-letters stay letters of their case and script, a valid check digit stays valid, and a
-given name stays a name of the title's gender.
+Detected: e-mail addresses, telephone numbers, IPv4 addresses, payment card numbers
+(their check digit must hold), social security numbers, IBANs, access keys, assigned
+secrets (``password=...``), names after a title, and wherever else in the document one
+of these names stands as a capitalised word. A surrogate depends on a secret key, the
+kind and the canonical value only, so one value has one surrogate everywhere
+(coreference), whatever its separators or case at a place, which the surrogate takes
+over: digits stay digits, letters stay letters of their case and script, marks stay
+marks, a valid check digit stays valid, and a given name stays a name of the title's
+gender; where only some titles of a document tell the gender, they tell it for all.
 
 Distinctness is checked over the whole corpus: values whose surrogates meet each other
 or an existing value draw again, smallest value first, until none do. From the draw
@@ -38,12 +40,16 @@ from pyspark.sql import functions as F
 from . import bytetext as B
 from .storage import Scratch, with_columns_free
 
-#: For tests and this repository's queries; a deployment passes its own.
+#: For tests and this repository's queries; a deployment sets its own.
 DEMO_KEY = b"not a secret"
 #: Redrawn values that are broadcast at most.
 SENT = 50_000
 #: The draw from which surrogates may leave the format's small spaces.
 WIDE = 8
+#: Turns of one draw, before a surrogate grows by a character.
+TURNS = 100
+#: The session setting that holds the secret key.
+KEY_SETTING = "auditspark.surrogates.key"
 
 # Titles by gender, and syllables and given names by script.
 _MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "г-н", "Κύριος")
@@ -75,6 +81,9 @@ _ACCESS = re.compile(r"(?<!\w)(?:AKIA|ASIA)[A-Z0-9]{16}(?!\w)|(?<!\w)(?:ghp_|gho
 _SECRET = re.compile(r"""(?i)(?<!\w)(?:passwords?|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?token)["']?\s*[=:]\s*(?:"([^"\n]{4,})"|'([^'\n]{4,})'|([^\s"',;]{6,}))""")
 _NAME = re.compile(r"(?<!\w)(" + "|".join(sorted((*_MALE, *_FEMALE, *_ANY), key=len, reverse=True)) + r")\.?[  ]((?:[^\W\d_a-z][^\W\d_]+[  -]){0,2}[^\W\d_a-z][^\W\d_]+)")
 _WORD = re.compile(r"[^\W\d_]+")
+_CAPITALISED = re.compile(r"(?<![\w@])[^\W\d_a-z][^\W\d_]+(?![\w@])")
+#: Marks that stand for each other in a secret without letters and digits.
+_MARKS = "!#$%&*+-./:=?@^_~"
 
 
 def _luhn(digits: str) -> int:
@@ -90,6 +99,39 @@ def _script(word: str) -> str:
     return "cyrillic" if 0x400 <= c < 0x530 else "greek" if 0x370 <= c < 0x400 or 0x1F00 <= c < 0x2000 else "latin" if c < 0x250 else "other"
 
 
+def _names(text: str) -> list[tuple[int, int, str, str]]:
+    """The words of names after titles, and the same words elsewhere in the text."""
+    titled: list[tuple[int, int, str, str]] = []
+    genders: dict[str, set[str]] = {}
+    family: set[str] = set()
+    for m in _NAME.finditer(text):
+        gender = "m" if m[1] in _MALE else "f" if m[1] in _FEMALE else ""
+        words = [*_WORD.finditer(text, *m.span(2))]
+        for w in words[:-1]:
+            genders.setdefault(w[0].lower(), set()).add(gender)
+            titled.append((*w.span(), gender, w[0].lower()))
+        family.add(words[-1][0].lower())
+        titled.append((*words[-1].span(), "surname", words[-1][0].lower()))
+    if not titled:
+        return []
+
+    def given(value: str, own: str = "") -> str:
+        told = genders[value] - {""}
+        return f"given:{own or (next(iter(told)) if len(told) == 1 else 'mf')}"
+
+    found = [(a, b, kind if kind == "surname" else given(value, kind), value) for a, b, kind, value in titled]
+    at = {a for a, *_ in titled}
+    words = [m for m in _CAPITALISED.finditer(text) if m[0][0].isupper()]
+    for m, after in zip(words, [*words[1:], None], strict=True):
+        value = m[0].lower()
+        if m.start() in at or (value not in family and value not in genders):
+            continue
+        # A word that is both is a given name before a surname.
+        first = value in genders and (value not in family or (after is not None and after.start() == m.end() + 1 and after[0].lower() in family))
+        found.append((*m.span(), given(value) if first else "surname", value))
+    return found
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical value) of every detected unit, in order and without overlaps."""
     found: list[tuple[int, int, str, str]] = []
@@ -115,19 +157,14 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         for kind, pattern in (("ssn", _SSN), ("phone", _PHONE), ("card", _CARD)):
             for hit in pattern.finditer(run):
                 digits = re.sub(r"\D", "", hit[0])
-                if kind != "card" or len(digits) == 16 or _luhn(digits) == 0:
+                if kind != "card" or (digits[0] in "23456" and _luhn(digits) == 0):
                     found.append((base + hit.start(), base + hit.end(), kind, digits))
     if re.search(r"[A-Z]{2}\d\d", text):
         for m in _IBAN.finditer(text):
             value = m[0].replace(" ", "")
             if 15 <= len(value) <= 34 and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1:
                 found.append((*m.span(), "iban", value))
-    for m in _NAME.finditer(text):
-        gender = "m" if m[1] in _MALE else "f" if m[1] in _FEMALE else "mf"
-        words = [*_WORD.finditer(text, *m.span(2))]
-        for i, w in enumerate(words):
-            kind = f"given:{gender}" if i < len(words) - 1 else "surname"
-            found.append((*w.span(), kind, w[0].lower()))
+    found.extend(_names(text))
     found.sort(key=lambda x: (x[0], -x[1]))
     out: list[tuple[int, int, str, str]] = []
     for x in found:
@@ -152,7 +189,9 @@ class _Stream:
 
 
 def _like(text: str, s: _Stream) -> str:
-    """Other characters of the same classes; lower-case hexadecimal stays that."""
+    """Other characters of the same classes; lower-case hexadecimal stays that, and marks change only where there is nothing else."""
+    if text and not any(c.isalnum() for c in text):
+        return "".join(c if c.isspace() else _MARKS[s.below(len(_MARKS))] for c in text)
     letters = "abcdef" if re.fullmatch(r"[0-9a-f]*", text) else "abcdefghijklmnopqrstuvwxyz"
     out = []
     for c in text:
@@ -188,7 +227,11 @@ def _reserved(value: str, draw: int, s: _Stream) -> str:
 def surrogate(key: bytes, kind: str, value: str, draw: int = 0) -> str:
     """The canonical surrogate of a canonical value; never the value itself."""
     more = max(0, draw.bit_length() - WIDE.bit_length() + 1)
-    for turn in range(1000):
+    turn = -1
+    while True:
+        turn += 1
+        # What cannot change, as a letter that is alone in its script, grows.
+        more += turn > TURNS
         s = _Stream(key, kind, value, draw * 1000 + turn)
         if kind == "email":
             local, _, domain = value.partition("@")
@@ -234,7 +277,6 @@ def surrogate(key: bytes, kind: str, value: str, draw: int = 0) -> str:
             out += _like("x" * more, s) if kind == "secret" else _like(value[-1:] * more, s)
         if out != value:
             return out
-    raise ValueError(f"no surrogate for a value of kind {kind}: nothing in it can change")
 
 
 def _shaped(out: str, like: str, kind: str) -> str:
@@ -253,10 +295,7 @@ def rewrite(text: str, key: bytes, redrawn: dict[tuple[str, str], int], known: d
     found, parts, at = find(text), [], 0
     for a, b, kind, value in found:
         if (kind, value) not in known:
-            try:
-                known[kind, value] = surrogate(key, kind, value, redrawn.get((kind, value), 0))
-            except ValueError:
-                known[kind, value] = "*" * len(value)
+            known[kind, value] = surrogate(key, kind, value, redrawn.get((kind, value), 0))
         parts += (text[at:a], _shaped(known[kind, value], text[a:b], kind))
         at = b
     return "".join((*parts, text[at:])), len(found)
@@ -274,12 +313,7 @@ def _values(docs: DataFrame) -> DataFrame:
 def _drawn(values: DataFrame, key: bytes) -> DataFrame:
     def run(batches):
         for b in batches:
-            out = []
-            for kind, value, draw in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                try:
-                    out.append(surrogate(key, kind, value, draw))
-                except ValueError:
-                    out.append(None)
+            out = [surrogate(key, *x) for x in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(out, pa.string())], names=["kind", "value", "draw", "out"])
 
     return values.select("kind", "value", "draw").mapInArrow(run, "kind string, value string, draw int, out string")
@@ -291,8 +325,8 @@ def redrawn_values(values: DataFrame, key: bytes, scratch: Scratch, rounds: int
     now = scratch.save(_drawn(values.withColumn("draw", F.lit(0)), key))
     for _ in range(rounds):
         first = Window.partitionBy(group, "out").orderBy("value", "kind")
-        met = now.where("out is not null").select("kind", "value", "draw", F.row_number().over(first).alias("r"))
-        taken = now.where("out is not null").alias("n").join(values.select(group.alias("g"), F.col("value").alias("other")).distinct(), (F.split("n.kind", ":")[0] == F.col("g")) & (F.col("out") == F.col("other")), "left_semi").select("kind", "value", "draw")
+        met = now.select("kind", "value", "draw", F.row_number().over(first).alias("r"))
+        taken = now.alias("n").join(values.select(group.alias("g"), F.col("value").alias("other")).distinct(), (F.split("n.kind", ":")[0] == F.col("g")) & (F.col("out") == F.col("other")), "left_semi").select("kind", "value", "draw")
         again = scratch.save(met.where("r > 1").select("kind", "value", "draw").union(taken).distinct())
         if not again.limit(1).count():
             break
@@ -304,8 +338,14 @@ def redrawn_values(values: DataFrame, key: bytes, scratch: Scratch, rounds: int
     return now.where("draw > 0").select("kind", "value", "draw")
 
 
-def pseudonymised(spark: SparkSession, docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
-    """``docs`` with surrogates in ``text``, and ``n_entities``, the units replaced."""
+def session_key(spark: SparkSession) -> bytes:
+    """The secret key that the session sets, else ``DEMO_KEY``."""
+    return spark.conf.get(KEY_SETTING, DEMO_KEY.decode()).encode()
+
+
+def pseudonymised(spark: SparkSession, docs: DataFrame, key: bytes | None = None) -> DataFrame:
+    """``docs`` with surrogates in ``text``, and ``n_entities``, the units replaced. ``key``: else the session's."""
+    key = key or session_key(spark)
     scratch = Scratch(spark, "surrogates")
     docs = with_columns_free(docs, "n_entities", "_redrawn")
     values = scratch.save(_values(docs))

@@ -274,6 +274,36 @@ def test_surrogates_of_small_spaces_are_distinct(spark):
     assert surrogates._shaped("1234567", "12-34-56", "phone") == "12-34-567"
 
 
+def test_names_are_replaced_wherever_they_stand():
+    text = "John Smith rang. Mr. John Smith called; later Smith said JOHN and Dr. John Smith agree. Smithy and john stay, Mark too."
+    new, n = surrogates.rewrite(text, b"k", {}, {})
+    words = new.replace(".", "").replace(";", "").split()
+    assert n == 8 and "Smith " not in new and "John" not in new and "JOHN" not in new and "Smithy" in new and "john" in new and "Mark" in new
+    assert words[0] == words[4] == words[13] and words[1] == words[5] == words[8] == words[14]
+    assert words[0].lower() in {x.lower() for x in surrogates._GIVEN["latin", "m"]} and words[10] == words[0].upper()
+    assert surrogates.find("Smith and John walk home") == []
+
+
+def test_secrets_of_marks_and_lone_letters_stay_distinct():
+    marks = ["!!!!????", "????!!!!", "########"]
+    outs = [surrogates.rewrite(f'password = "{m}"', b"k", {}, {})[0] for m in marks]
+    assert len(set(outs)) == 3 and not any(m in o for m in marks for o in outs) and all(len(o) == len('password = ""') + 8 for o in outs)
+    assert surrogates.surrogate(b"k", "surname", "ß") != "ß" and surrogates.surrogate(b"k", "secret", "ǅ") != "ǅ"
+
+
+def test_only_numbers_with_a_valid_check_digit_are_cards():
+    assert [x[2] for x in surrogates.find("4111 1111 1111 1111 and 4111111111111112 and 9177399536541148")] == ["card"]
+
+
+def test_the_session_sets_the_key(spark):
+    one = spark.createDataFrame([(1, "mail bob@mail.example.com")], "doc_id long, text string")
+    a = surrogates.pseudonymised(spark, one).first().text
+    spark.conf.set(surrogates.KEY_SETTING, "another")
+    b = surrogates.pseudonymised(spark, one).first().text
+    spark.conf.unset(surrogates.KEY_SETTING)
+    assert a != b and b == surrogates.pseudonymised(spark, one, b"another").first().text
+
+
 def test_long_local_parts_are_replaced_whole():
     texts = [f"to {c}{'y' * 100}@mail.example.com now" for c in "pq"]
     assert [[x[:2] for x in surrogates.find(t)] for t in texts] == [[(3, 121)]] * 2
