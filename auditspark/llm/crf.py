@@ -115,6 +115,54 @@ def fit(gain_of, push, size: int, label: np.ndarray, start: np.ndarray, weight:
     return w, chain
 
 
+def all_zero(chain: Chain, gain: np.ndarray, start: np.ndarray, number: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of n documents the log probability that no position has label 1; the positions' marginals and pair marginals.
+
+    By the chain rule: of the first position, and of each next one given that the one before has label 0.
+    """
+    m, ahead, back = chain.messages(gain, start)
+    both = ahead * back
+    p = both[:, 1] / both.sum(1)
+    here = np.flatnonzero(~start)
+    pair = ahead[here - 1][:, :, None] * m[here] * back[here][:, None, :]
+    pair /= pair.sum((1, 2), keepdims=True)
+    step = np.log(np.maximum(1 - p, 1e-300))
+    step[here] = np.log(np.maximum(pair[:, 0, 0], 1e-300)) - np.log(np.maximum(pair[:, 0].sum(1), 1e-300))
+    return np.bincount(number, weights=step, minlength=n), p, pair
+
+
+def fit_latent(gain_of, push, size: int, marked: np.ndarray, start: np.ndarray, number: np.ndarray, noise: float, rounds: int = 80, rate: float = 0.1, l2: float | np.ndarray = 1e-4) -> tuple[np.ndarray, Chain]:
+    """Weights and chain from labels of whole documents; those of the positions are latent.
+
+    A document's mark says that at least one of its positions has label 1, and no mark that
+    none has, but either is wrong with probability ``noise``. Adam steps, ever smaller, climb
+    the likelihood of the marks: with q the probability of no label 1 and f the features, a
+    document's gradient is a factor of q times f of the all-zero labelling less its expectation.
+    """
+    w, chain = np.zeros(size), Chain(np.zeros((2, 2)), 0.0)
+    state = np.zeros((2, size + 5))
+    here = np.flatnonzero(~start)
+    inner = np.bincount(number[here], minlength=len(marked))
+    for step in range(1, rounds + 1):
+        logq, p, pair = all_zero(chain, gain_of(w), start, number, len(marked))
+        q = np.exp(logq)
+        seen = noise + (1 - 2 * noise) * np.where(marked, 1 - q, q)
+        factor = np.where(marked, -1, 1) * (1 - 2 * noise) * q / seen / len(marked)
+        own = factor[number]
+        grad = np.zeros(size + 5)
+        grad[:size] = push(-p * own) - l2 * w
+        expected = (pair * own[here][:, None, None]).sum(0)
+        expected[0, 0] -= (inner * factor).sum()
+        grad[size : size + 4] = -expected.ravel()
+        grad[size + 4] = -(p * own)[start].sum()
+        state[0] = 0.9 * state[0] + 0.1 * grad
+        state[1] = 0.99 * state[1] + 0.01 * grad * grad
+        move = rate / (1 + step / 30) * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)
+        w = w + move[:size]
+        chain = Chain(np.clip(chain.trans + move[size : size + 4].reshape(2, 2), -6, 6), float(np.clip(chain.first + move[size + 4], -6, 6)))
+    return w, chain
+
+
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 400, rate: float = 0.1, l2: float = 1e-4) -> np.ndarray:
     """Weights of a logistic regression, the intercept last, by Adam steps."""
     x = np.column_stack((x, np.ones(len(x))))

@@ -1,13 +1,15 @@
 """Toxic spans from a conditional random field over words, and document scores.
 
-Labels are given by document, so words are labelled first. Over all labelled training
-documents, Spark counts in how many toxic and other documents each word and each stem
-of some bytes occurs; a table of fixed size holds the counts by hash. A word of a
-toxic document is labelled toxic if it or a stem of it is significantly more frequent
-there. The field's features are the log odds of the word and its stems and those of
-its neighbours. For every document, forward-backward marginals are summed, their sum
-and maximum are calibrated to a score, and the words at 0.5 or more are the offending
-offsets.
+Labels are given by document, so the words' labels are latent: at least one word of a
+toxic document is toxic, none of another is, up to a share ``NOISE`` of wrong labels.
+The field's features are the identity of the word, of its stems of some bytes and of
+its neighbours, where they occur in ``KNOWN`` labelled documents or more, and how much
+more frequent all of these are in toxic documents: Spark counts in how many toxic and
+other documents each word and stem occurs, over all labelled training documents, into
+a table of fixed size by hash; for the documents that the field is fitted to, their own
+counts are taken out of it first. For every document, forward-backward marginals are
+summed, their sum and maximum are calibrated to a score, and the words at 0.5 or more
+are the offending offsets.
 
 Scale: counts are summed before they are shuffled and end as one table of ``2 ** BITS``
 numbers a feature, whatever the corpus; the field itself is fitted to the words of
@@ -15,8 +17,9 @@ numbers a feature, whatever the corpus; the field itself is fitted to the words
 without a shuffle.
 
 Edge cases: null and wordless texts have no toxic words and get the score of none; very
-long texts are scored whole; repeated rows are scored row by row; without labels every
-score is 0.5; only the text is used for scores.
+long texts are scored whole; repeated rows are scored row by row; without labels, or
+with those of one class, every score is 0.5; only the text is used for scores; no other
+column of the documents is read.
 """
 
 from __future__ import annotations
@@ -29,21 +32,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bytetext as B
-from .crf import Chain, fit, logistic
+from .crf import Chain, fit_latent, logistic
 from .labelled import sample
 from .storage import in_fold, sent_if_small
 
 #: Labelled documents of each class that the field is fitted to, at most.
 PER_CLASS = 600
-#: Log odds, and evidence in nats, from which a word or stem is called toxic.
-ODDS, EVIDENCE = 2.5, 16.0
+#: Share of wrong document labels that the field allows for.
+NOISE = 0.02
+#: Labelled documents with a word or stem, for it to have a weight of its own.
+KNOWN = 5
+#: Penalty of the weights, and the size of neighbours' features against the word's own.
+L2, NEIGHBOURS = 3e-3, 0.5
 #: Documents that pull a rare word's odds towards even.
 PRIOR = 2.0
 #: Bytes of the stems; the whole word is a feature too.
 STEMS = (4, 5, 6)
 BITS = 18
 FEATURES = len(STEMS) + 1
-DENSE = 3 * (FEATURES + 1)
+#: Of the odds, so that their weights are of the size of the others'.
+SCALE = 0.3
+
+
+#: The features that stand for "no stem of this size".
+_DEAD = [k << BITS for k in range(1, FEATURES)]
 
 
 def word_features(c: B.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -90,43 +102,39 @@ def document_counts(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.
     return total[:, size], total[:, :size]
 
 
-def log_odds(documents: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of every feature: its log odds of being in a toxic document, and whether they are high beyond doubt."""
+def log_odds(documents: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of every feature, its log odds of being in a toxic document, scaled."""
     share = documents / max(1, documents.sum())
     rate = [(counts[y] + PRIOR * share[y]) / max(1, documents[y]) for y in (0, 1)]
-    odds = np.log(np.maximum(rate[1], 1e-12) / np.maximum(rate[0], 1e-12)) if documents.min() else np.zeros(counts.shape[1])
-    n = counts.sum(0)
-    q = np.clip(counts[1] / np.maximum(n, 1), 1e-9, 1 - 1e-9)
-    p = np.clip(share[1], 1e-9, 1 - 1e-9)
-    evidence = n * (q * np.log(q / p) + (1 - q) * np.log((1 - q) / (1 - p)))
-    sure = (odds >= ODDS) & (evidence >= EVIDENCE)
-    for table in (odds, sure):
-        table[[k << BITS for k in range(1, FEATURES)]] = 0
-    return odds.astype(np.float32), sure
+    odds = np.log(np.maximum(rate[1], 1e-12) / np.maximum(rate[0], 1e-12)) if documents.min() > 0 else np.zeros(counts.shape[1])
+    odds[_DEAD] = 0
+    return (SCALE * odds).astype(np.float32)
+
+
+def _neighbours(own: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the word before and the word after have, zero at a document's edges."""
+    before, after = np.zeros_like(own), np.zeros_like(own)
+    inner = np.flatnonzero(~start)
+    before[inner] = own[inner - 1]
+    after[inner - 1] = own[inner]
+    return before, after
 
 
 @dataclass
 class ToxicModel:
-    odds: np.ndarray
-    sure: np.ndarray
-    weights: np.ndarray
+    """``gains``: what a feature adds to the gain of its word, of the next word and of the word before."""
+
+    gains: np.ndarray
+    bias: float
     chain: Chain
     calibration: np.ndarray
 
-    def dense(self, f: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Odds and a mark of each word, its predecessor and its successor in the document."""
-        own = np.column_stack((self.odds[f] * 0.3, self.sure[f].any(1))).astype(np.float32)
-        before, after = np.zeros_like(own), np.zeros_like(own)
-        inner = np.flatnonzero(~start)
-        before[inner] = own[inner - 1]
-        after[inner - 1] = own[inner]
-        return np.concatenate((own, before, after), 1)
-
     def marginals(self, f: np.ndarray, doc: np.ndarray) -> np.ndarray:
         if not len(doc):
             return np.empty(0)
         start = np.concatenate(([True], doc[1:] != doc[:-1]))
-        return self.chain.marginals(self.dense(f, start) @ self.weights[:-1].astype(np.float32) + self.weights[-1], start)
+        own, before, after = (g[f].sum(1) for g in self.gains)
+        return self.chain.marginals((own + _neighbours(before, start)[0] + _neighbours(after, start)[1]).astype(float) + self.bias, start)
 
     def summary(self, p: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
         total, most = np.bincount(doc, weights=p, minlength=n), np.zeros(n)
@@ -138,6 +146,49 @@ class ToxicModel:
         return 1 / (1 + np.exp(-(x @ self.calibration[:-1] + self.calibration[-1])))
 
 
+def fitted(documents: np.ndarray, counts: np.ndarray, f: np.ndarray, number: np.ndarray, toxic: np.ndarray) -> ToxicModel:
+    """The model of these counts, its field fitted to words with features f, in documents ``number`` of label ``toxic``."""
+    start = np.concatenate(([True], number[1:] != number[:-1]))
+    without = [log_odds(documents - np.eye(2, dtype=np.int64)[y], np.maximum(0, counts - np.eye(2, dtype=np.int64)[y][:, None])) for y in (0, 1)]
+    own = np.where((toxic[number] == 1)[:, None], without[1][f], without[0][f])
+    dense = np.concatenate((own, *_neighbours(own, start)), 1)
+    known = counts.sum(0) >= KNOWN
+    known[_DEAD] = False
+    place = np.cumsum(known) * known
+    m = int(known.sum()) + 1
+    word = place[f[:, :1]]
+    before, after = _neighbours(word, start)
+    index = np.concatenate((place[f], m + before, 2 * m + after), 1).astype(np.int32)
+    none, width = [0, m, 2 * m], dense.shape[1]
+
+    # What the word itself says goes before what its neighbours say: either would explain a document's label.
+    size = np.concatenate((np.ones(m), np.full(2 * m, NEIGHBOURS), np.ones(FEATURES), np.full(width - FEATURES, NEIGHBOURS), [1.0]))
+    penalty = np.concatenate((np.full(3 * m, L2), np.full(width + 1, 0.01 * L2)))
+
+    def gain_of(w: np.ndarray) -> np.ndarray:
+        w = w * size
+        return w[index].sum(1) + dense @ w[3 * m : -1] + w[-1]
+
+    def push(g: np.ndarray) -> np.ndarray:
+        out = np.bincount(index.ravel(), weights=np.repeat(g, index.shape[1]), minlength=3 * m)
+        out[none] = 0
+        return np.concatenate((out, g @ dense, [g.sum()])) * size
+
+    w, chain = fit_latent(gain_of, push, 3 * m + width + 1, toxic == 1, start, number, NOISE, rounds=60, l2=penalty)
+    w = w * size
+    odds, each = log_odds(documents, counts), np.repeat(np.arange(FEATURES), 1 << BITS)
+    gains = np.stack([odds * w[3 * m + k * FEATURES : 3 * m + (k + 1) * FEATURES][each] for k in range(3)]).astype(np.float32)
+    gains[0] += w[place]
+    gains[1:, : 1 << BITS] += np.stack((w[m + place[: 1 << BITS]], w[2 * m + place[: 1 << BITS]])).astype(np.float32)
+    model = ToxicModel(gains, float(w[-1]), chain, np.zeros(3))
+    # Calibrated on gains that know no more of a document than those of one not seen.
+    p = chain.marginals(gain_of(w / size), start)
+    seen = model.summary(p, number, len(toxic))
+    balance = np.where(toxic == 1, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (1 - toxic).sum())) * len(toxic)
+    model.calibration = logistic(seen, toxic.astype(float), balance)
+    return model
+
+
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicModel:
     def run(batches):
         for batch in B.small_batches(batches):
@@ -149,23 +200,13 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: in
                 yield pa.RecordBatch.from_arrays([ids.slice(c.first, c.n), label.slice(c.first, c.n), flat], names=["doc_id", "label", "f"])
 
     documents, counts = document_counts(docs, labels)
-    model = ToxicModel(*log_odds(documents, counts), np.zeros(DENSE + 1), Chain(np.zeros((2, 2)), 0.0), np.zeros(3))
     table = sample(docs, labels, "toxic", per_class).mapInArrow(run, "doc_id long, label int, f array<int>").toArrow().sort_by("doc_id")
     toxic = table.column("label").to_numpy().astype(np.int64)
     lists = table.column("f").combine_chunks()
     if not len(toxic) or not documents.min() or not len(lists.flatten()):
-        return model
+        return ToxicModel(np.zeros((3, FEATURES << BITS), np.float32), 0.0, Chain(np.zeros((2, 2)), 0.0), np.zeros(3))
     size = np.diff(lists.offsets.to_numpy()) // FEATURES
-    f = lists.flatten().to_numpy().reshape(-1, FEATURES)
-    number = np.repeat(np.arange(len(toxic)), size)
-    y = (model.sure[f].any(1) & (toxic[number] == 1)).astype(float)
-    start = np.concatenate(([True], number[1:] != number[:-1]))
-    x = np.column_stack((model.dense(f, start), np.ones(len(f), np.float32)))
-    model.weights, model.chain = fit(lambda w: (x @ w.astype(np.float32)).astype(float), lambda g: (g.astype(np.float32) @ x).astype(float), x.shape[1], y, start, np.ones(len(y)), rounds=60, rate=0.2)
-    seen = model.summary(model.marginals(f, number), number, len(toxic))
-    balance = np.where(toxic == 1, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (1 - toxic).sum())) * len(toxic)
-    model.calibration = logistic(seen, toxic.astype(float), balance)
-    return model
+    return fitted(documents, counts, lists.flatten().to_numpy().reshape(-1, FEATURES), np.repeat(np.arange(len(toxic)), size), toxic)
 
 
 def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import ipaddress
 import itertools
 import math
@@ -11,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from auditspark.llm import bytetext as B
 from auditspark.llm import crf, html_extract, language_id, line_quality, surrogates, toxicity
 from auditspark.llm.storage import Scratch
 from support import SMALL
@@ -42,6 +44,41 @@ def test_fit_learns_transitions():
     assert chain.trans[0, 0] + chain.trans[1, 1] > chain.trans[0, 1] + chain.trans[1, 0]
 
 
+def test_probability_of_no_label_equals_enumeration():
+    r = np.random.default_rng(2)
+    chain = crf.Chain(r.normal(size=(2, 2)), -0.4)
+    gain, start, number = r.normal(size=7), np.array([1, 0, 0, 1, 0, 0, 0], bool), np.array([0, 0, 0, 1, 1, 1, 1])
+    logq, _, pair = crf.all_zero(chain, gain, start, number, 3)
+    for d, (a, b) in enumerate(((0, 3), (3, 7))):
+        weight = {}
+        for y in itertools.product((0, 1), repeat=b - a):
+            weight[y] = math.exp(y[0] * chain.first + sum(chain.trans[i, j] for i, j in zip(y, y[1:], strict=False)) + sum(g for g, v in zip(gain[a:b], y, strict=True) if v))
+        assert math.exp(logq[d]) == pytest.approx(weight[(0,) * (b - a)] / sum(weight.values()))
+        for k in range(1, b - a):
+            want = sum(w for y, w in weight.items() if y[k - 1 : k + 1] == (1, 0)) / sum(weight.values())
+            assert pair[a + k - 1 - d, 1, 0] == pytest.approx(want)
+    assert logq[2] == 0
+
+
+def test_latent_fit_finds_the_positions_of_marked_documents():
+    """Each marked document has two neighbouring positions of feature 1; feature 0 is everywhere, 2 in either class."""
+    r = np.random.default_rng(4)
+    n, size = 300, 12
+    marked = np.arange(n) % 2 == 0
+    x = np.zeros((n * size, 3))
+    x[:, 0], x[:, 2] = 1, r.random(n * size) < 0.2
+    for d in np.flatnonzero(marked):
+        x[d * size + r.integers(0, size - 1) + np.arange(2), 1] = 1
+    wrong = marked.copy()
+    wrong[:6] ^= True
+    start, number = np.arange(n * size) % size == 0, np.arange(n * size) // size
+    w, chain = crf.fit_latent(lambda w: x @ w, lambda g: g @ x, 3, wrong, start, number, 0.03)
+    p = chain.marginals(x @ w, start)
+    assert ((p >= 0.5) == (x[:, 1] == 1)).mean() > 0.99
+    # The neighbours go together: the chain alone makes spans of what stands alone.
+    assert chain.trans[0, 0] + chain.trans[1, 1] > chain.trans[0, 1] + chain.trans[1, 0]
+
+
 @pytest.fixture(scope="module")
 def planted(spark):
     """(docs, labels): toxic documents hold a marked word; bad ones shout."""
@@ -69,14 +106,53 @@ def test_toxicity_held_out_and_spans(spark, planted, docs, empty):
     d, labels = planted
     found = toxicity.scored(spark, d, labels)
     assert accuracy(found, labels, "toxic") >= 0.95
-    hit = found.join(d, "doc_id").join(labels, "doc_id").where("toxic = 1 and size(spans) > 0").first()
-    assert hit.text.encode()[hit.spans[0] : hit.spans[1]].lower().startswith(b"zzqtox")
+    hits = found.join(d, "doc_id").join(labels, "doc_id").where("toxic = 1 and held_out").collect()
+    words = [[x.text.encode()[a:b].lower() for a, b in zip(*[iter(x.spans)] * 2, strict=True)] for x in hits]
+    assert sum(any(w.startswith(b"zzqtox") for w in ws) for ws in words) >= 0.95 * len(hits) and sum(map(len, words)) <= 3 * len(hits)
     odd = toxicity.scored(spark, d.union(docs), labels).where("doc_id < 3")
     assert odd.where("score < 0 or score > 1 or score is null").count() == 0
     assert toxicity.scored(spark, empty, labels).count() == 0
     assert {x.score for x in toxicity.scored(spark, docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_toxic_spans_depend_on_neighbours_and_transitions(spark):
+    """Toxic are three words in a row that other documents hold one by one."""
+    r = random.Random(9)
+    phrase, rows, labels = ["zaza", "qoqo", "vuvu"], [], []
+    for i in range(500):
+        w = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 5))) for _ in range(30)]
+        if i % 3 == 0:
+            at = r.randrange(27)
+            w[at : at + 3] = phrase
+        elif i % 3 == 1:
+            for k, x in zip((3, 12, 24), r.sample(phrase, 3), strict=True):
+                w[k] = x
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, int(i % 3 == 0)))
+    d, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert accuracy(toxicity.scored(spark, d, labels), labels, "toxic") >= 0.95
+    model = toxicity.train(spark, d, labels)
+    f, _, _, doc = toxicity.word_features(next(B.chunks([t.encode() for _, t in rows], lower=True)))
+    flat = dataclasses.replace(model, chain=crf.Chain(np.zeros((2, 2)), model.chain.first))
+    assert ((model.marginals(f, doc) >= 0.5) != (flat.marginals(f, doc) >= 0.5)).any()
+    one, zero = (toxicity.word_features(next(B.chunks([t])))[0] for t in (b"aa zaza qoqo vuvu bb", b"zaza aa qoqo bb vuvu"))
+    together, alone = (model.score(model.marginals(f, np.zeros(5, int)), np.zeros(5, int), 1)[0] for f in (one, zero))
+    assert together > 0.5 > alone
+
+
+def test_toxicity_of_odd_rows(spark, planted):
+    d, labels = planted
+    long_ = "fine words here " * 60_000 + "zzqtoxa end"
+    rows = spark.createDataFrame([(900, "plain zzqtoxb text"), (900, "plain zzqtoxb text"), (901, long_), (None, "zzqtoxc")], "doc_id long, text string")
+    rows = rows.withColumns({"score": F.lit("clash"), "spans": F.lit(1), "held_out": F.lit(None)})
+    given = d.select("doc_id", "text").withColumns({"score": F.lit("clash"), "spans": F.lit(1), "held_out": F.lit(None)}).union(rows)
+    found = {}
+    for x in toxicity.scored(spark, given, labels.union(labels)).where("doc_id >= 900 or doc_id is null").collect():
+        found.setdefault(x.doc_id, []).append(x)
+    assert len(found[900]) == 2 and found[900][0] == found[900][1] and (6, 13) in zip(*[iter(found[900][0].spans)] * 2, strict=True)
+    assert (960_000, 960_007) in zip(*[iter(found[901][0].spans)] * 2, strict=True) and found[None][0].held_out is False and found[None][0].score > 0.5
+
+
 def test_quality_held_out(spark, planted, docs, empty):
     d, labels = planted
     found = line_quality.judged(spark, d, labels)
