@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from auditspark.llm import bytetext as B
 from auditspark.llm import fmindex, induced, minhash, packing, quality_rules, suffix_dedup
 from auditspark.llm.queries import OP1, tokenizer_path
+from auditspark.llm.storage import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -206,6 +209,102 @@ def test_quality_statistics_and_verdicts(spark, docs, odd_texts, empty, monkeypa
     assert quality_rules.judged(spark, empty, ["doc_id"]).count() == 0
 
 
+def exact_step(x, mean, inverse):
+    """The estimate from the nearest share of the rows x, taken one by one in order of distance."""
+    d = np.einsum("ni,ij,nj->n", x - mean, inverse, x - mean)
+    near = x[np.lexsort((*x.T[::-1], d))][: int(np.ceil(quality_rules.SUPPORT * len(x)))]
+    m, p, logdet = quality_rules.moments(np.array([len(near)]), near.sum(0)[None], (near.T @ near)[None])
+    return m[0], p[0], logdet[0]
+
+
+def exact_estimate(x, starts):
+    """The smallest determinant that concentration from these starts (mean, inverse) leads to."""
+    found = []
+    for mean, inverse in starts:
+        for _ in range(quality_rules.FIRST):
+            mean, inverse, logdet = exact_step(x, mean, inverse)
+        found.append((logdet, mean, inverse))
+    logdet, mean, inverse = min(found, key=lambda f: f[0])
+    while True:
+        m, p, new = exact_step(x, mean, inverse)
+        if logdet - new <= quality_rules.STILL:
+            return mean, inverse, logdet
+        mean, inverse, logdet = m, p, new
+
+
+def square(row):
+    out = np.zeros((6, 6))
+    for i, j in quality_rules._PAIRS:
+        out[i, j] = out[j, i] = row[f"p{i}{j}"]
+    return out
+
+
+def test_least_determinant_against_exact_steps_and_all_subsets(spark):
+    r = np.random.default_rng(5)
+    groups = {"a": r.normal(size=(80, 6)), "b": r.normal(size=(45, 6)) * 3, "few": r.normal(size=(10, 6)), "same": np.ones((30, 6))}
+    groups["a"][:15] += 9
+    groups["a"][40:60] = groups["a"][40]
+    groups["few"][:2] -= 30
+    rows = spark.createDataFrame([(g, *map(float, v)) for g, x in groups.items() for v in x], "g string, " + ", ".join(f"x{i} double" for i in range(6)))
+    scratch = Scratch(spark, "t")
+    begun = {}
+    for s in quality_rules.starts(rows).collect():
+        begun.setdefault(s.g, []).append((s.k, np.array([s[f"m{i}"] for i in range(6)]), square(s)))
+    found = {f.g: f for f in quality_rules.least_determinant(rows, scratch).collect()}
+    assert found.keys() == groups.keys() and {k for k, *_ in begun["a"]} == {0, 1, 2, 3}
+    for g, x in groups.items():
+        mean, inverse, logdet = exact_estimate(x, [(m, p) for _, m, p in sorted(begun[g], key=lambda b: b[0])])
+        assert found[g].logdet == pytest.approx(logdet, abs=1e-6), g
+        assert np.allclose([found[g][f"m{i}"] for i in range(6)], mean, atol=1e-6) and np.allclose(square(found[g]), inverse, rtol=1e-4, atol=1e-6)
+    x = groups["few"]
+    subsets = [x[list(c)] for c in combinations(range(10), 8)]
+    assert found["few"].logdet == pytest.approx(min(quality_rules.moments(np.array([8]), s.sum(0)[None], (s.T @ s)[None])[2][0] for s in subsets), abs=1e-6)
+
+
+def test_verdicts_against_exact_estimates(spark, monkeypatch):
+    r = random.Random(7)
+    rows = []
+    for k in range(260):
+        words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(r.randint(30, 90))]
+        if k % 13 == 0:
+            words = [f"{w.upper()}###" for w in words]
+        rows.append((k, " ".join(words), None if k % 29 == 0 else "ab"[k % 2], None if k % 29 == 0 else f"s{k % 10 // 6}"))
+    rows += [(1000, rows[1][1], "a", "s0")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    stats = quality_rules.statistics(df, ["doc_id", "lang", "source"])
+    x = {(v.doc_id, v.lang, v.source): np.array(v[-6:]) for v in stats.select("doc_id", "lang", "source", *quality_rules.transformed()).collect()}
+    own, of = Counter((lang, source) for _, _, lang, source in rows), Counter(lang for _, _, lang, _ in rows)
+    group = {key: key[1:] if own[key[1:]] >= 40 else key[1] if of[key[1]] >= 40 else "all" for key in x}
+    members = defaultdict(list)
+    for i, _, lang, source in rows:
+        for g in ((lang, source), lang, "all"):
+            members[g].append(x[i, lang, source])
+    estimates = {}
+    _, judging = quality_rules._grouped(stats.select("*", *(c.alias(f"x{i}") for i, c in enumerate(quality_rules.transformed()))), 40, 30)
+    begun = defaultdict(list)
+    for s in sorted(quality_rules.starts(judging).collect(), key=lambda s: s.k):
+        key = json.loads(s.g) if s.g != "all" else None
+        g = "all" if key is None else tuple(v[1:] or None for v in key.values()) if "s" in key else key["l"][1:] or None
+        begun[g].append((np.array([s[f"m{i}"] for i in range(6)]), square(s)))
+    for g in set(group.values()):
+        v = np.array(members[g])
+        mean, inverse, _ = exact_estimate(v, begun[g])
+        d = np.sort(np.einsum("ni,ij,nj->n", v - mean, inverse, v - mean))
+        estimates[g] = mean, inverse, max(1.0, d[(len(d) - 1) // 2] / quality_rules.CHI2_MEDIAN)
+    found = quality_rules.judged(spark, df, ["doc_id", "lang", "source"], least=40).collect()
+    assert len(found) == len(rows) and {"all"} < set(map(str, group.values()))
+    for f in found:
+        mean, inverse, scale = estimates[group[f.doc_id, f.lang, f.source]]
+        v = x[f.doc_id, f.lang, f.source] - mean
+        want = v @ inverse @ v / scale
+        assert f.distance == pytest.approx(want, rel=0.02, abs=0.05), f.doc_id
+        assert f.kept == (not f.base_failed and want <= quality_rules.CHI2_CUTOFF) or abs(want - quality_rules.CHI2_CUTOFF) < 1
+    assert {f.kept for f in found if f.doc_id % 13 == 0 and f.doc_id < 1000} == {False}
+    monkeypatch.setattr(quality_rules, "SENT_GROUPS", -1)
+    again = quality_rules.judged(spark, df, ["doc_id", "lang", "source"], least=40).collect()
+    assert sorted((f.doc_id, f.kept) for f in again) == sorted((f.doc_id, f.kept) for f in found)
+
+
 def brute_removed(items, length):
     seen = Counter()
     raw = [(i, (t or "").encode()) for i, t in items]
