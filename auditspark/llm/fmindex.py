@@ -8,9 +8,10 @@ sampled at every ``SAMPLE`` th symbol. All phrases are searched backwards at onc
 rows are located by walking to a sample, and the occurrences' words are merged into
 spans.
 
-Scale: documents are never shuffled; memory is bounded by the shard. The test items
-are sent out in blocks of at most ``ITEM_BLOCK`` bytes of text, one pass each, so no
-broadcast grows with the benchmark.
+Scale: documents are never shuffled and are read once; memory is bounded by the shard.
+The test items go out in blocks of about ``ITEM_BLOCK`` bytes of text, each a broadcast
+of its own that a worker loads from its local file, searches ``HELD`` shards for, and
+lets go, so that neither driver nor worker holds more than one block at a time.
 
 Edge cases: null or wordless texts have no words, no hits, and stay; an item of fewer
 words than a window is one window; an item without words has none; repeated items and
@@ -19,6 +20,8 @@ documents are treated row by row; extra columns pass through.
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +35,8 @@ WINDOW = 10
 SAMPLE = 16
 SHARD_BYTES = 2 << 20
 ITEM_BLOCK = 4 << 20
+#: Shards that wait for each block, where there are several blocks.
+HELD = 4
 
 
 def suffix_array(ranks: np.ndarray) -> np.ndarray:
@@ -148,7 +153,7 @@ class Phrases:
             for k in range(max(1, len(s) - window + 1) if len(s) else 0):
                 found.setdefault(s[k : k + window].tobytes(), set()).add(i)
         self.size = np.array([len(k) // 4 for k in found], np.int64)
-        self.patterns = np.zeros((len(found), window), np.int64)
+        self.patterns = np.zeros((len(found), window), np.int32)
         for r, k in enumerate(found):
             self.patterns[r, : len(k) // 4] = np.frombuffer(k, np.int32)
         of = [sorted(v) for v in found.values()]
@@ -197,54 +202,46 @@ def shard_hits(phrases: Phrases, symbols: np.ndarray, doc: np.ndarray) -> tuple[
 _ADDED = [("n_words", T.LongType()), ("n_hit", T.LongType()), ("items", T.ArrayType(T.StringType())), ("spans", T.ArrayType(T.LongType()))]
 
 
-def _one_pass(df: DataFrame, text_col: str, phrases: Phrases, remove: bool) -> DataFrame:
-    """Adds this block's hits to columns n_words, n_hit, items and spans (flat byte offsets).
-
-    ``remove``: the last block also cuts the spans out of the text.
-    """
-    names, at = df.columns, df.columns.index(text_col)
-    sent = df.sparkSession.sparkContext.broadcast(phrases)
-
-    def shard(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, ph = B.as_bytes(batch.column(at)), sent.value
-        parts, docs, spots = [], [], []
-        for c in B.chunks(texts, lower=True):
-            start, end, doc = c.words(B.ALNUM)
-            parts.append(ph.symbols(c.hash.of(start, end)))
-            docs.append(doc + c.first)
-            spots.append((start - c.start[doc], end - c.start[doc]))
-        doc = np.concatenate([*docs, np.empty(0, np.int64)])
-        start = np.concatenate([*(s for s, _ in spots), np.empty(0, np.int64)])
-        end = np.concatenate([*(e for _, e in spots), np.empty(0, np.int64)])
-        first, last, d, item = shard_hits(ph, np.concatenate([*parts, np.empty(0, np.int64)]), doc)
-        hit = B.cover(first, last, len(doc))
-        found = {k: batch.column(names.index(k)).to_pylist() for k in ("items", "spans")}
-        items = [set(x or ()) for x in found["items"]]
-        for i, k in zip(d.tolist(), item.tolist(), strict=True):
-            items[i].add(ph.ids[k])
-        edge = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-        n_hit, spans = np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)]
-        touched = set(np.unique(doc[hit]).tolist()) | {i for i, x in enumerate(found["spans"]) if x}
-        for i in touched:
+class _Shard:
+    """The words of a batch's documents, and what the blocks searched so far have hit."""
+
+    def __init__(self, batch: pa.RecordBatch, at: int):
+        self.batch, self.at = batch, at
+        self.texts = B.as_bytes(batch.column(at))
+        unit, doc, start, end = [], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for c in B.chunks(self.texts, lower=True):
+            first, last, of = c.words(B.ALNUM)
+            unit.append(c.hash.of(first, last))
+            doc.append(of + c.first)
+            start.append(first - c.start[of])
+            end.append(last - c.start[of])
+        self.unit = np.concatenate([*unit, np.empty(0, np.uint64)])
+        self.doc, self.start, self.end = (np.concatenate(x) for x in (doc, start, end))
+        self.hit = np.zeros(len(self.doc), bool)
+        self.items: list[set[str]] = [set() for _ in self.texts]
+
+    def search(self, phrases: Phrases) -> None:
+        first, last, doc, item = shard_hits(phrases, phrases.symbols(self.unit), self.doc)
+        self.hit |= B.cover(first, last, len(self.doc))
+        for i, k in zip(doc.tolist(), item.tolist(), strict=True):
+            self.items[i].add(phrases.ids[k])
+
+    def result(self, names: list[str], remove: bool) -> pa.RecordBatch:
+        n = len(self.texts)
+        edge = np.searchsorted(self.doc, np.arange(n + 1))
+        spans: list[list[int]] = [[] for _ in range(n)]
+        for i in np.unique(self.doc[self.hit]).tolist():
             a, b = edge[i], edge[i + 1]
-            h = hit[a:b].copy()
-            for x, y in zip(*[iter(found["spans"][i] or ())] * 2, strict=True):
-                h[np.searchsorted(start[a:b], x) : np.searchsorted(start[a:b], y)] = True
-            step = np.diff(h.view(np.int8), prepend=np.int8(0), append=np.int8(0))
-            n_hit[i] = h.sum()
+            step = np.diff(self.hit[a:b].view(np.int8), prepend=np.int8(0), append=np.int8(0))
             on, off = np.flatnonzero(step == 1), np.flatnonzero(step == -1) - 1
-            spans[i] = np.stack((start[a:b][on], end[a:b][off]), 1).ravel().tolist()
-        new = {"n_words": pa.array(np.diff(edge), pa.int64()), "n_hit": pa.array(n_hit), "items": pa.array([sorted(x) for x in items], pa.list_(pa.string())), "spans": pa.array(spans, pa.list_(pa.int64()))}
+            spans[i] = np.stack((self.start[a:b][on], self.end[a:b][off]), 1).ravel().tolist()
+        n_hit = np.bincount(self.doc[self.hit], minlength=n)
+        new = [pa.array(np.diff(edge), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(x) for x in self.items], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.int64()))]
+        columns = list(self.batch.columns)
         if remove and any(spans):
-            given = batch.column(at).to_pylist()
-            new[text_col] = pa.array([_cut(texts[i], s).decode() if s else given[i] for i, s in enumerate(spans)], batch.column(at).type)
-        return pa.RecordBatch.from_arrays([new.get(k, batch.column(i)) for i, k in enumerate(names)], names=names)
-
-    def run(batches):
-        for batch in B.small_batches(batches, SHARD_BYTES):
-            yield shard(batch)
-
-    return df.mapInArrow(run, df.schema)
+            given = columns[self.at].to_pylist()
+            columns[self.at] = pa.array([_cut(t, s).decode() if s else g for t, s, g in zip(self.texts, spans, given, strict=True)], columns[self.at].type)
+        return pa.RecordBatch.from_arrays([*columns, *new], names=names)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col: str = "text", id_col: str = "item_id", window: int = WINDOW, remove: bool = False) -> DataFrame:
@@ -256,12 +253,27 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, te
     items = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = max(1, -(-size // ITEM_BLOCK))
-    out = with_columns_free(docs, *(k for k, _ in _ADDED))
-    out = out.withColumns({k: F.lit(None).cast(t) for k, t in _ADDED})
+    sent = []
     for block in range(n):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == block).collect()
-        out = _one_pass(out, text_col, Phrases([(r.i, r.t.encode()) for r in rows], window), remove and block == n - 1)
-    return out
+        sent.append(spark.sparkContext.broadcast(Phrases([(r.i, r.t.encode()) for r in rows], window)))
+    given = with_columns_free(docs, *(k for k, _ in _ADDED))
+    schema = T.StructType([*given.schema.fields, *(T.StructField(k, t) for k, t in _ADDED)])
+    names, at, held = schema.names, given.columns.index(text_col), 1 if n == 1 else HELD
+
+    def run(batches):
+        parts = B.small_batches(batches, SHARD_BYTES)
+        while shards := [_Shard(batch, at) for batch in islice(parts, held)]:
+            for block in sent:
+                for shard in shards:
+                    shard.search(block.value)
+                if n > 1:
+                    # A worker's copy is read again from its file when the next shards need it.
+                    block.__dict__.pop("_value", None)
+            for shard in shards:
+                yield shard.result(names, remove)
+
+    return given.mapInArrow(run, schema)
 
 
 def _cut(text: bytes, spans: list[int]) -> bytes:

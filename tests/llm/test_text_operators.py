@@ -169,6 +169,9 @@ def test_contamination_against_brute_force(spark, docs, odd_texts, monkeypatch,
     for i, t, *_ in odd_texts:
         n, hit, _ = got[i]
         assert clean[i] == t if not hit else len(ITEM_WORD.findall(ascii_lower(clean[i]))) == n - hit
+    # However many blocks, the documents are read in one pass.
+    plan = fmindex.contamination(spark, clash, bench)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert fmindex.contamination(spark, docs, nothing).where("n_hit > 0").count() == 0
 
