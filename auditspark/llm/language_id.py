@@ -7,16 +7,21 @@ that was not costs an escape and goes on to the next shorter context, down to al
 bytes alike (escape estimate C). A text's exact code length under each language is the
 sum over all its bytes, and the shortest wins.
 
-The costs of every (context, byte) of the union of all trees are laid out as one table,
-so scoring a byte is a look-up: contexts are found by two small index tables, never by
-hashing. Letters are lower-cased first.
+A tree is kept as sorted arrays of the strings it has met and of their contexts, with
+their costs, so it is as large as its own sample makes it, however many languages there
+are. A byte with its context is a number of four bytes; the different ones of a chunk
+of texts are looked up once in each language's tree. Letters are lower-cased first.
 
-Scale: the sample has ``PER_LANGUAGE`` documents of each language at most; the table has
-a bounded size; scoring is one pass over whole texts without a shuffle.
+Scale: the sample has ``PER_LANGUAGE`` documents and ``PER_LANGUAGE_BYTES`` bytes of each
+language at most, a tree 8 bytes for each different string of its sample (in natural
+text some 100,000 strings, so a megabyte a language); scoring is one pass over whole
+texts without a shuffle and holds one language's costs at a time.
 
 Edge cases: ``und`` and score 0 for null texts and texts without a letter; null
-languages teach nothing; without training documents everything is ``und``; repeated
-rows and very long texts are scored whole, row by row.
+languages teach nothing; a language's longest texts (over an eighth of its bytes) are
+taken last, and of a single text longer than all of them its first bytes; without
+training documents everything is ``und``; rows that repeat an id teach once; repeated
+rows and very long texts are scored whole, row by row, whatever stands beside them.
 """
 
 from __future__ import annotations
@@ -33,92 +38,90 @@ from .storage import in_fold
 
 #: Documents of each language that the trees are made from, at most, and bytes of them.
 PER_LANGUAGE, PER_LANGUAGE_BYTES = 400, 4 << 20
-#: Bytes of the longest context. Three index tables are needed for three.
+#: Bytes of the longest context; with the byte itself they make a 32-bit number.
 ORDER = 3
+#: Bytes of texts whose strings are looked up together.
+LOOKED_UP = 1 << 20
 #: Code lengths are compared per this many bytes at most when they become a score.
 SCORE_BYTES = 200
 
-_LOW = np.frombuffer(B.LOWER, np.uint8)
 _ASCII_LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
 
 
-def _counts(texts: list[bytes]) -> list[dict[bytes, dict[int, int]]]:
-    """For each order 0..ORDER: context -> next byte -> count, as arrays of n-grams."""
-    joined = b"\n".join(texts).translate(B.LOWER)
-    data = np.frombuffer(b"\n" * ORDER + joined, np.uint8).astype(np.int64)
-    out = []
+def _strings(data: np.ndarray) -> np.ndarray:
+    """The four bytes that end at each place of ``data``, as numbers; ``ORDER`` line ends stand before it."""
+    padded = np.concatenate((np.full(ORDER, 10, np.uint8), data)).astype(np.uint32)
+    out = np.zeros(len(data), np.uint32)
     for k in range(ORDER + 1):
-        gram = np.zeros(len(data) - ORDER, np.int64)
-        for j in range(k + 1):
-            gram = gram * 256 + data[ORDER - k + j : len(data) - k + j]
-        out.append(np.unique(gram, return_counts=True))
+        out = out << np.uint32(8) | padded[k : k + len(data)]
     return out
 
 
 @dataclass
-class ContextTables:
-    """Costs in bits of every byte after every known context, for all languages at once.
+class Tree:
+    """One language: by order, the sorted strings (context and byte) with their bits, and the contexts with those of an escape."""
+
+    strings: list[np.ndarray]
+    bits: list[np.ndarray]
+    contexts: list[np.ndarray]
+    escapes: list[np.ndarray]
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Tree:
+        gap = b"\n" * ORDER
+        whole = _strings(np.frombuffer(gap.join(texts).translate(B.LOWER), np.uint8))
+        tree = cls([], [], [], [])
+        for k in range(ORDER + 1):
+            strings, number = np.unique(whole & np.uint32((1 << 8 * (k + 1)) - 1), return_counts=True)
+            contexts, of, kinds = np.unique(strings >> np.uint32(8), return_inverse=True, return_counts=True)
+            total = np.bincount(of, weights=number) + kinds
+            tree.strings.append(strings)
+            tree.bits.append((np.log2(total[of]) - np.log2(number)).astype(np.float32))
+            tree.contexts.append(contexts)
+            tree.escapes.append((np.log2(total) - np.log2(kinds)).astype(np.float32))
+        return tree
+
+    def cost(self, strings: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each of these strings of four bytes, after the three before it."""
+        out = np.zeros(len(strings), np.float32)
+        left = np.arange(len(strings))
+        for k in range(ORDER, -1, -1):
+            key = strings[left] & np.uint32((1 << 8 * (k + 1)) - 1)
+            at = np.minimum(np.searchsorted(self.strings[k], key), len(self.strings[k]) - 1)
+            met = self.strings[k][at] == key
+            out[left[met]] += self.bits[k][at[met]]
+            left, key = left[~met], key[~met] >> np.uint32(8)
+            at = np.minimum(np.searchsorted(self.contexts[k], key), len(self.contexts[k]) - 1)
+            known = self.contexts[k][at] == key
+            out[left[known]] += self.escapes[k][at[known]]
+        out[left] += 8
+        return out
 
-    ``one``, ``two`` and ``three`` find the row of the longest known suffix of the bytes
-    before: ``two[a, b]`` and, if three bytes are known, ``three[pair of b c, a]``.
-    """
 
+@dataclass
+class Trees:
     languages: list[str]
-    symbol: np.ndarray
-    two: np.ndarray
-    pair: np.ndarray
-    three: np.ndarray
-    cost: np.ndarray
-
-    def code_lengths(self, data: np.ndarray) -> np.ndarray:
-        """Bits of each byte of ``data`` (lower-cased) in each language; bytes before it are line ends."""
-        before = np.concatenate((np.full(ORDER, 10, np.uint8), data)).astype(np.int64)
-        a, b, c = before[:-3], before[1:-2], before[2:-1]
-        short = b * 256 + c
-        row = self.three[self.pair[short], a]
-        row = np.where(row >= 0, row, self.two[short])
-        return self.cost[row, self.symbol[data]]
-
-
-def build(samples: dict[str, list[bytes]]) -> ContextTables:
-    languages = sorted(samples)
-    counts = [_counts(samples[lang]) for lang in languages]
-    contexts = [np.unique(np.concatenate([c[k][0] >> 8 for c in counts])) for k in range(ORDER + 1)]
-    seen = np.unique(np.concatenate([c[0][0] for c in counts]))
-    symbol = np.full(256, len(seen), np.int64)
-    symbol[seen] = np.arange(len(seen))
-    width = len(seen) + 1  # the last stands for every byte that no language has met
-    tables = [None] * (ORDER + 1)
-    for k in range(ORDER + 1):
-        n = len(contexts[k])
-        tables[k] = np.empty((n, width, len(languages)), np.float32)
-        for at, c in enumerate(counts):
-            grams, number = c[k]
-            row, sym = np.searchsorted(contexts[k], grams >> 8), symbol[grams & 255]
-            table = np.zeros((n, width))
-            table[row, sym] = number
-            total, kinds = table.sum(1), (table > 0).sum(1)
-            if k == 0:
-                lower = np.full((n, width), 8.0)
-            else:
-                # The context without its first byte; it is known wherever this one is.
-                parent = np.searchsorted(contexts[k - 1], contexts[k] & ((1 << (8 * (k - 1))) - 1))
-                lower = tables[k - 1][parent, :, at]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                met = -np.log2(table / (total + kinds)[:, None])
-                escape = np.where(total > 0, -np.log2(kinds / np.maximum(total + kinds, 1)), 0.0)
-            tables[k][:, :, at] = np.where(table > 0, met, lower + escape[:, None])
-    first = np.cumsum([0] + [len(t) for t in tables])
-    one = np.zeros(256, np.int64)
-    one[contexts[1]] = first[1] + np.arange(len(contexts[1]))
-    two = np.tile(one, 256)
-    two[contexts[2]] = first[2] + np.arange(len(contexts[2]))
-    pair = np.zeros(1 << 16, np.int32)
-    pairs = np.unique(contexts[3] & 0xFFFF)
-    pair[pairs] = np.arange(len(pairs)) + 1
-    three = np.full((len(pairs) + 1, 256), -1, np.int32)
-    three[pair[contexts[3] & 0xFFFF], contexts[3] >> 16] = first[3] + np.arange(len(contexts[3]))
-    return ContextTables(languages, symbol, two.astype(np.int32), pair, three, np.concatenate(tables))
+    trees: list[Tree]
+
+    def code_lengths(self, c: B.Chunk) -> np.ndarray:
+        """Bits of each document of a lower-cased chunk in each language."""
+        whole = _strings(c.data)
+        # What stands before a document in the chunk is none of its context.
+        for k in range(ORDER):
+            at = c.start[c.start + k <= c.end] + k
+            keep = np.uint32((1 << 8 * (k + 1)) - 1)
+            whole[at] = whole[at] & keep | np.uint32(0x0A0A0A0A) & ~keep
+        different, place = np.unique(whole, return_inverse=True)
+        out = np.empty((c.n, len(self.trees)))
+        for i, tree in enumerate(self.trees):
+            total = np.concatenate(([0.0], np.cumsum(tree.cost(different).astype(np.float64)[place])))
+            out[:, i] = total[c.end] - total[c.start]
+        return out
+
+
+def build(samples: dict[str, list[bytes]]) -> Trees:
+    languages = sorted(lang for lang, texts in samples.items() if any(texts))
+    return Trees(languages, [Tree.of(samples[lang]) for lang in languages])
 
 
 def _has_letter(c: B.Chunk, texts: list[bytes]) -> np.ndarray:
@@ -129,41 +132,42 @@ def _has_letter(c: B.Chunk, texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def train(spark: SparkSession, docs: DataFrame, per_language: int = PER_LANGUAGE) -> ContextTables | None:
+def train(spark: SparkSession, docs: DataFrame, per_language: int = PER_LANGUAGE) -> Trees | None:
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(~in_fold(F.col("doc_id")))
+    known = known.select("doc_id", "lang", F.col("text").cast("string").alias("text"))
     ids = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("o"), F.octet_length("text").alias("size"))
     # Each task keeps the first of each language, so the window sees few rows.
-    order = Window.partitionBy("lang", "part").orderBy("o", "doc_id")
-    ids = ids.withColumn("part", F.pmod("o", F.lit(256))).withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language)
-    last = Window.partitionBy("lang").orderBy("o", "doc_id")
+    order = (F.col("size") > PER_LANGUAGE_BYTES // 8, F.col("o"), F.col("doc_id"))
+    first = Window.partitionBy("lang", "part").orderBy(*order)
+    ids = ids.withColumn("part", F.pmod("o", F.lit(256))).withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language)
+    last = Window.partitionBy("lang").orderBy(*order)
     ids = ids.withColumn("r", F.row_number().over(last)).withColumn("bytes", F.sum("size").over(last.rowsBetween(Window.unboundedPreceding, 0)))
-    ids = ids.where((F.col("r") <= per_language) & ((F.col("bytes") <= PER_LANGUAGE_BYTES) | (F.col("r") == 1))).select("lang", "doc_id")
-    rows = known.select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), ["doc_id", "lang"]).collect()
+    ids = ids.where((F.col("r") <= per_language) & ((F.col("bytes") <= PER_LANGUAGE_BYTES) | (F.col("r") == 1))).select("lang", "doc_id").distinct()
+    some = known.withColumn("text", F.substring("text", 1, PER_LANGUAGE_BYTES)).join(F.broadcast(ids), ["doc_id", "lang"])
+    rows = some.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     samples: dict[str, list[bytes]] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.doc_id)):
         samples.setdefault(r.lang, []).append(r.text.encode())
-    return build(samples) if samples else None
+    trees = build(samples)
+    return trees if trees.languages else None
 
 
 def predicted(spark: SparkSession, docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """doc_id, held_out, lang_pred, score and code_lengths (bits in each language, by name) of every row."""
-    tables = train(spark, docs, per_language)
-    sent = spark.sparkContext.broadcast(tables)
+    sent = spark.sparkContext.broadcast(train(spark, docs, per_language))
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
         t = sent.value
         for batch in B.small_batches(batches):
             texts = B.as_bytes(batch.column(1))
-            for c in B.chunks(texts, lower=True, size=B.CHUNK_BYTES // 2):
+            for c in B.chunks(texts, lower=True, size=LOOKED_UP):
                 some = _has_letter(c, texts)
                 if t is None:
                     some[:] = False
                     best, score, bits = np.zeros(c.n, int), np.zeros(c.n), np.zeros((c.n, 0))
                 else:
-                    cost = t.code_lengths(c.data).astype(np.float64)
-                    total = np.concatenate((np.zeros((1, cost.shape[1])), np.cumsum(cost, 0)))
-                    bits = total[c.end] - total[c.start]
+                    bits = t.code_lengths(c)
                     best = bits.argmin(1)
                     size = (c.end - c.start)[:, None]
                     scaled = (bits - bits.min(1, keepdims=True)) * np.minimum(1, SCORE_BYTES / np.maximum(1, size))

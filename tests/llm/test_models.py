@@ -180,7 +180,7 @@ def test_code_lengths_are_exact():
     tables = language_id.build(samples)
 
     def brute(lang, text):
-        joined, counts = b"\n" * 3 + b"\n".join(samples[lang]), {}
+        joined, counts = b"\n" * 3 + (b"\n" * 3).join(samples[lang]), {}
         for k in range(4):
             for i in range(3, len(joined)):
                 counts.setdefault(joined[i - k : i], {}).setdefault(joined[i], 0)
@@ -198,9 +198,37 @@ def test_code_lengths_are_exact():
                 total += 8
         return total
 
-    for text in (b"abra", b"hello zebra", "ét".encode(), b"qqq world"):
-        bits = tables.code_lengths(np.frombuffer(text, np.uint8)).sum(0)
-        assert bits == pytest.approx([brute(lang, text) for lang in tables.languages], abs=1e-3)
+    texts = [b"abra", b"hello zebra", b"", "ét".encode(), b"q", b"qqq world", b"rl"]
+    bits = tables.code_lengths(B.Chunk(texts))
+    for text, row in zip(texts, bits, strict=True):
+        assert row == pytest.approx([brute(lang, text) for lang in tables.languages], abs=1e-3)
+
+
+def test_many_languages_take_memory_by_their_samples_only():
+    """A hundred invented languages in scripts of their own, within a megabyte of trees each."""
+    r = random.Random(5)
+    samples = {}
+    for k in range(100):
+        letters = [chr(0x400 + 40 * k + i) for i in range(24)]
+        samples[f"l{k:02d}"] = [" ".join("".join(r.choice(letters) for _ in range(r.randint(1, 8))) for _ in range(300)).encode() for _ in range(2)]
+    trees = language_id.build(samples)
+    assert sum(a.nbytes for t in trees.trees for part in (t.strings, t.bits, t.contexts, t.escapes) for a in part) < 100 << 20
+    some = [samples[lang][0][:200].decode(errors="ignore").encode() for lang in trees.languages]
+    assert trees.code_lengths(B.Chunk(some)).argmin(1).tolist() == list(range(100))
+
+
+def test_languages_of_odd_rows(spark):
+    rows = [(i, f"the cat and the dog number {i} " * 5, "en") for i in range(20)] + [(100 + i, f"der hund und die katze nummer {i} " * 5, "de") for i in range(20)]
+    long_ = "the mat and the cat " * 60_000
+    rows += [(1, rows[1][1], "en")] * 30 + [(500, long_, "en"), (501, long_, "xx"), (None, "the dog", "en"), (502, "der und die", None)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"lang_pred": F.lit(1), "score": F.lit("x"), "code_lengths": F.lit(0)})
+    found = language_id.predicted(spark, given).collect()
+    by = {x.doc_id: x for x in found}
+    assert len(found) == len(rows) and by[3].lang_pred == "en" and by[105].lang_pred == "de" and by[502].lang_pred == "de"
+    assert len({(x.lang_pred, x.score) for x in found if x.doc_id == 1}) == 1
+    # Neither what stands beside a text nor how texts are dealt out changes its score.
+    alone = language_id.predicted(spark, given.repartition(7)).collect()
+    assert {(x.doc_id, x.lang_pred, round(x.score, 9)) for x in alone} == {(x.doc_id, x.lang_pred, round(x.score, 9)) for x in found}
 
 
 PAGE = (
