@@ -112,13 +112,13 @@ def renamed(df: DataFrame) -> DataFrame:
 def factorized(df: DataFrame, column: str, row_id: str, out: str) -> DataFrame:
     """Codes by first appearance in row order; null is -1.
 
-    The distinct values are numbered by a window over their first rows; the rows join
+    The distinct values are ranked by their first rows, range by range; the rows join
     them by value, broadcast only if Spark finds them small.
     """
-    from pyspark.sql import Window
+    from auditspark.operators.protocol import exact_rank
 
     first = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(row_id).alias("_first"))
-    codes = first.select(column, (F.row_number().over(Window.orderBy("_first")) - 1).alias(out))
+    codes = exact_rank(first, F.col("_first")).select(column, F.col("rank").cast("int").alias(out))
     return df.join(codes, column, "left").withColumn(out, F.coalesce(out, F.lit(-1)))
 
 

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditspark.config import CONFIG
+from auditspark.config import CONFIG, DAY
 
 GUARDED = ("card4", "card6", "card3")
 
@@ -63,6 +63,15 @@ def resolved(df: DataFrame, block: str, coarse: str, weights: Mapping[str, float
     return df.join(merged, block, "left").withColumn("entity_block", F.coalesce("anchor", F.col(block))).drop("anchor")
 
 
+def merge_rejects(df: DataFrame, block: str, coarse: str, weights: Mapping[str, float], guarded: Sequence[str] = (), day_key: str | None = None, threshold: float = CONFIG.agreement_threshold, row_id: str = "row_id") -> DataFrame:
+    """One row: candidate pairs not merged for their agreement, and, of the others, for a conflict."""
+    columns = [*dict.fromkeys([*weights, *guarded, *([day_key] if day_key else [])])]
+    pairs = candidate_pairs(representatives(df, block, coarse, columns, row_id), block, coarse, columns)
+    low = agreement(weights) < threshold
+    held = ~low & conflict(guarded, day_key)
+    return pairs.agg(F.coalesce(F.sum(low.cast("long")), F.lit(0)).alias("score_rejects"), F.coalesce(F.sum(held.cast("long")), F.lit(0)).alias("conflict_rejects"))
+
+
 def entity_sizes(df: DataFrame) -> DataFrame:
     sizes = df.groupBy("entity").agg(F.count("*").alias("n"))
     return sizes.agg(
@@ -87,10 +96,19 @@ def entity_purity(df: DataFrame) -> DataFrame:
     )
 
 
-def counter_violations(df: DataFrame, counters: Sequence[str], entity: str = "entity", t: str = "t", row_id: str = "row_id") -> DataFrame:
-    """How often a cumulative counter falls from one row of an entity to the next; a null between hides nothing further."""
-    chain = Window.partitionBy(entity).orderBy(t, row_id)
-    before = df.select(*counters, *(F.lag(c).over(chain).alias(f"_{c}") for c in counters))
+def counter_violations(df: DataFrame, counters: Sequence[str], entity: str = "entity", t: str = "t", row_id: str = "row_id", bucket: int = 30 * DAY) -> DataFrame:
+    """How often a cumulative counter falls from one row of an entity to the next; a null between hides nothing further.
+
+    Rows are chained by entity and ``bucket`` ticks of time; from one bucket to the next the last
+    row of the one meets the first of the other, so an entity is shared by as many tasks as it has buckets.
+    """
+    rows = df.select(F.col(entity).alias("_e"), F.floor(F.col(t) / bucket).alias("_b"), F.col(t).alias("_t"), F.col(row_id).alias("_r"), *counters)
+    chain = Window.partitionBy("_e", "_b").orderBy("_t", "_r")
+    within = rows.select(*counters, *(F.lag(c).over(chain).alias(f"_{c}") for c in counters))
+    row = F.struct("_t", "_r", *counters)
+    buckets = rows.groupBy("_e", "_b").agg(F.min(row).alias("_first"), F.max(row).alias("_last"))
+    buckets = buckets.withColumn("_last", F.lag("_last").over(Window.partitionBy("_e").orderBy("_b")))
+    before = within.unionByName(buckets.select(*(F.col(f"_first.{c}").alias(c) for c in counters), *(F.col(f"_last.{c}").alias(f"_{c}") for c in counters)))
     pairs, falls = F.lit(0), F.lit(0)
     for c in counters:
         both = F.col(c).isNotNull() & F.col(f"_{c}").isNotNull()

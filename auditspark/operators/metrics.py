@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditspark.config import CONFIG
+from auditspark.operators.protocol import exact_rank
+from auditspark.sources.shared import saved
 
 
 def _running(rows: DataFrame, by: Sequence[str], parts: int = 64) -> DataFrame:
@@ -68,9 +70,21 @@ def cold_ranking(rows: DataFrame) -> DataFrame:
     return r.select(F.col("n").alias("cold_n"), F.col("n_pos").alias("cold_n_pos"), F.col("auprc").alias("cold_auprc"))
 
 
-def quantile(rows: DataFrame, q: float) -> DataFrame:
-    """One row: the linearly interpolated quantile of score, from counts of distinct scores."""
-    return rows.agg(F.percentile("score", F.lit(q)).alias("threshold"))
+def quantile(rows: DataFrame, q: float, column: str = "score", by: Sequence[str] = (), out: str = "threshold") -> DataFrame:
+    """The linearly interpolated quantile of a column, by group, from counts of its distinct values."""
+    some = rows.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("score"), F.lit(0).alias("y"))
+    sizes = some.groupBy(*by).agg(F.count("*").alias("_n")) if by else some.agg(F.count("*").alias("_n"))
+    r = _running(some, by)
+    r = r.join(F.broadcast(sizes), list(by)) if by else r.crossJoin(F.broadcast(sizes))  # a row, or one for each group
+    # Places are counted from the top: a value holds neg_above, neg_above + 1 ... neg_above + neg - 1.
+    place = F.lit(q) * (F.col("_n") - 1)
+
+    def at(k: Column) -> Column:
+        top = F.col("_n") - 1 - k
+        return F.max(F.when((F.col("neg_above") <= top) & (top < F.col("neg_above") + F.col("neg")), F.col("score")))
+
+    both = r.groupBy(*by).agg(at(F.floor(place)).alias("_lo"), at(F.ceil(place)).alias("_hi"), F.max(place - F.floor(place)).alias("_part"))
+    return both.select(*by, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")).alias(out))
 
 
 def time_to_detection(rows: DataFrame, budget: float = CONFIG.budget) -> DataFrame:
@@ -86,25 +100,28 @@ def time_to_detection(rows: DataFrame, budget: float = CONFIG.budget) -> DataFra
     both = scored.select("entity", at.alias("at")).join(first, "entity")
     lead = both.groupBy("entity", "i", "a").agg(F.sum((F.col("at") < F.col("a")).cast("long")).alias("_sa"), F.sum((F.col("at") < F.col("i")).cast("long")).alias("_si"))
     lead = lead.select(F.col("a").isNotNull().alias("detected"), F.when(F.col("a").isNotNull(), F.col("_sa") - F.col("_si")).cast("double").alias("txn"), ((F.col("a.t") - F.col("i.t")) / 3600.0).alias("hours"))
-    return lead.agg(
+    lead = saved(lead, "lead")
+    out = lead.agg(
         F.count("*").alias("ttd_n_entities"),
         F.avg(F.col("detected").cast("double")).alias("ttd_detected_share"),
-        F.percentile("txn", F.lit(0.5)).alias("ttd_median_txn"),
-        F.percentile("hours", F.lit(0.5)).alias("ttd_median_hours"),
         F.avg((F.col("txn") < 0).cast("double")).alias("ttd_early_share"),
     )
+    for column in ("txn", "hours"):
+        out = out.crossJoin(F.broadcast(quantile(lead, 0.5, column, out=f"ttd_median_{column}")))  # single rows
+    return out
 
 
 def budget_recall(rows: DataFrame, budget: float = CONFIG.budget, seed: int = 0, tie: Column | None = None) -> DataFrame:
     """Value and count recall and precision among the best max(1, round-half-even(n * budget)) rows.
 
     Ties are broken by a seeded hash of the row id, never by amount. The number of rows
-    to review is one driver value; the best rows come from a distributed top-n.
+    to review is one driver value; the best rows are those of the first exact ranks.
     """
     n = rows.count()
     take = max(1, round(n * budget))
     key = F.xxhash64("row_id", F.lit(seed)) if tie is None else tie
-    top = rows.withColumn("_k", key).orderBy(F.desc("score"), "_k", "row_id").limit(take)
+    narrow = rows.select("score", key.alias("_k"), "row_id", "y", "amount")
+    top = exact_rank(narrow, F.desc("score"), F.col("_k"), F.col("row_id")).where(F.col("rank") < take)
     best = top.agg(F.sum(F.col("y") * F.col("amount")).alias("_v"), F.sum("y").alias("_y"), F.count("*").alias("_n"))
     every = rows.agg(F.sum(F.col("y") * F.col("amount")).alias("_tv"), F.sum("y").alias("_ty"))
     got = every.crossJoin(F.broadcast(best))  # two single rows

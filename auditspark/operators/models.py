@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,40 +16,52 @@ from pyspark.sql import functions as F
 
 from auditspark.config import CONFIG
 
-#: Rows of one neighbour block; a block of 64 doubles a row takes 10 MB.
-BLOCK_ROWS = 20_000
+#: Rows of one neighbour block, and of a slice of it that is compared at once.
+BLOCK_ROWS, SLICE = 10_000, 256
+
+
+def _nearest(a: np.ndarray, ids: np.ndarray, b: np.ndarray, others: np.ndarray, k: int) -> pd.DataFrame:
+    """The k nearest rows of b of each row of a: candidates by a matrix product, order by exact distances."""
+    found, square = [], (b**2).sum(1)
+    for at in range(0, len(a), SLICE):
+        part = a[at : at + SLICE]
+        size = (part**2).sum(1)
+        rough = size[:, None] + square - 2 * part @ b.T
+        rough[ids[at : at + SLICE, None] == others] = np.inf
+        kth = np.partition(rough, min(k, len(b)) - 1, axis=1)[:, min(k, len(b)) - 1]
+        # What rounding of the product may hide is compared exactly.
+        room = 1e-9 * (size + square.max()) + 1e-12
+        for r in range(len(part)):
+            near = np.flatnonzero(rough[r] <= kth[r] + room[r])
+            near = near[np.isfinite(rough[r, near])]
+            d = np.sqrt(((b[near] - part[r]) ** 2).sum(1))
+            order = np.lexsort((others[near], d))[:k]
+            found += zip([ids[at + r]] * len(order), others[near[order]], d[order], strict=True)
+    return pd.DataFrame(found, columns=["id", "neighbour", "distance"])
 
 
 def nearest_neighbours(rows: DataFrame, k: int = 5, id_col: str = "row_id", vector: str = "vector", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, neighbour, rank, distance) of each row's k nearest others by Euclidean distance, the smaller id on ties.
 
-    Rows are met with blocks of ``block_rows`` rows at most, each broadcast in turn, and
-    keep their best k of every block; the best k of those are the answer.
+    Rows are dealt into blocks of about ``block_rows``; every two blocks meet in a task of
+    their own, which keeps each row's best k, and the best k of those are the answer.
+    Nothing passes through the driver and no task holds more than two blocks.
     """
     blocks = max(1, -(-rows.count() // block_rows))
-    given = rows.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    out = None
-    for b in range(blocks):
-        part = given.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
-        ids = np.array([r.id for r in part], np.int64)
-        data = np.array([r.v for r in part], float)
-        sent = rows.sparkSession.sparkContext.broadcast((ids, data))
-
-        def near(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            ids, data = sent.value
-            for batch in batches:
-                if not len(batch) or not len(ids):
-                    continue
-                found = []
-                for own, v in zip(batch["id"], batch["v"], strict=True):
-                    d = np.sqrt(((data - np.asarray(v)) ** 2).sum(1))
-                    d[ids == own] = np.inf
-                    order = np.lexsort((ids, d))[:k]
-                    found += [(own, ids[j], d[j]) for j in order if np.isfinite(d[j])]
-                yield pd.DataFrame(found, columns=["id", "neighbour", "distance"])
-
-        one = given.mapInPandas(near, "id long, neighbour long, distance double")
-        out = one if out is None else out.union(one)
+    given = rows.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    asked = given.select(F.col("b").alias("i"), each.alias("j"), F.lit(True).alias("asks"), "id", "v")
+    met = given.select(each.alias("i"), F.col("b").alias("j"), F.lit(False).alias("asks"), "id", "v")
+
+    def near(cell: pd.DataFrame) -> pd.DataFrame:
+        asks = cell["asks"].to_numpy(bool)
+        ids = cell["id"].to_numpy(np.int64)
+        if not asks.any() or asks.all():
+            return pd.DataFrame({"id": ids[:0], "neighbour": ids[:0], "distance": np.empty(0)})
+        v = np.stack(cell["v"].to_numpy()).astype(float)
+        return _nearest(v[asks], ids[asks], v[~asks], ids[~asks], k)
+
+    out = asked.union(met).groupBy("i", "j").applyInPandas(near, "id long, neighbour long, distance double")
     best = out.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, k).alias("n"))
     return best.select("id", F.posexplode("n").alias("rank", "n")).select("id", "n.neighbour", (F.col("rank") + 1).alias("rank"), "n.distance")
 
@@ -81,10 +93,13 @@ def isotonic(rows: DataFrame, apply_to: DataFrame | None = None, min_rows: int =
     """``apply_to`` (or ``rows``) with ``calibrated``: isotonic probabilities fitted on ``rows``.
 
     A group of at least ``min_rows`` rows with both classes has its own curve; all others share one.
+    More such groups than regimes can be is an error.
     """
     target = rows if apply_to is None else apply_to
     counts = rows.groupBy(group).agg(F.count("*").alias("n"), F.min("y").alias("lo"), F.max("y").alias("hi"))
-    own = [r[group] for r in counts.where((F.col("n") >= min_rows) & (F.col("lo") != F.col("hi"))).orderBy(group).limit(CONFIG.regime_max_count).collect()]
+    own = [r[group] for r in counts.where((F.col("n") >= min_rows) & (F.col("lo") != F.col("hi"))).orderBy(group).limit(CONFIG.regime_max_count + 1).collect()]
+    if len(own) > CONFIG.regime_max_count:
+        raise ValueError(f"more than {CONFIG.regime_max_count} groups to calibrate")
     fit = lambda df: IsotonicRegression(featuresCol="score", labelCol="y").fit(df.select(F.col("score").cast("double"), F.col("y").cast("double")))
     whole = fit(rows)
     parts = [(g, fit(rows.where(F.col(group) == g))) for g in own]

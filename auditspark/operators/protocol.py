@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditspark.config import CONFIG
+from auditspark.sources.shared import saved
 
 
 @dataclass(frozen=True)
@@ -68,16 +69,17 @@ def cold_rows(members: DataFrame) -> DataFrame:
     return members.where("role = 'test'").join(train, ["start", "entity"], "left").select("start", "row_id", "entity", "y", F.col("_known").isNull().alias("is_cold"))
 
 
-def exact_rank(df: DataFrame, *order: Column, parts: int = 200) -> DataFrame:
+def exact_rank(df: DataFrame, *order: Column, parts: int | None = None) -> DataFrame:
     """``df`` with ``rank`` from 0 in a total order, without one task that sees all rows.
 
-    Rows are sorted into ranges; ranges are numbered by their counts.
+    Rows are sorted into ranges and written, so that ranges are drawn once; a row's place
+    in its range is part of the number it is written with, and ranges are numbered by their counts.
     """
-    ranged = df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id())
-    own = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    ranged = saved(df.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()), "ranked")
+    own = ranged.withColumn("_p", F.shiftright("_m", 33))
     sizes = own.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
-    return own.join(F.broadcast(before), "_p").withColumn("rank", F.col("_r") - 1 + F.col("_before")).drop("_p", "_r", "_before")
+    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))  # a row for each range
+    return own.join(F.broadcast(before), "_p").withColumn("rank", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")).drop("_p", "_m", "_before")
 
 
 def random_folds(df: DataFrame, splits: int = 3, share: float = 0.25, seed: int = 0, key: Column | None = None) -> DataFrame:
@@ -96,7 +98,7 @@ def random_folds(df: DataFrame, splits: int = 3, share: float = 0.25, seed: int
 def sampled(df: DataFrame, n: int, seed: int = 0, order: Column | None = None) -> DataFrame:
     """n rows without replacement, by a hash of the row id."""
     key = F.xxhash64("row_id", F.lit(seed)) if order is None else order
-    return df.withColumn("_o", key).orderBy("_o", "row_id").limit(n).drop("_o")
+    return exact_rank(df.withColumn("_o", key), F.col("_o"), F.col("row_id")).where(F.col("rank") < n).drop("_o", "rank")
 
 
 def chronological_split(df: DataFrame, share: float = 0.7) -> DataFrame:

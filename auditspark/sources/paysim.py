@@ -42,11 +42,14 @@ def with_residuals(df: DataFrame) -> DataFrame:
 
 def evidence(df: DataFrame) -> DataFrame:
     """What the balance fields look like for each label."""
-    return df.groupBy("isFraud").agg(
+    from auditspark.operators.metrics import quantile
+
+    shares = df.groupBy("isFraud").agg(
         F.count("*").alias("n"),
         F.avg(F.col("amount_eq_oldbalance").cast("double")).alias("share_amount_eq_oldbalance"),
         F.avg(F.col("orig_emptied").cast("double")).alias("share_orig_emptied"),
-        F.percentile("balance_err_orig", F.lit(0.5)).alias("median_balance_err_orig"),
         F.avg((F.col("oldbalanceDest") == F.col("newbalanceDest")).cast("double")).alias("share_dest_balance_unchanged"),
         F.avg(F.col("isFlaggedFraud").cast("double")).alias("share_flagged"),
     )
+    median = quantile(df, 0.5, "balance_err_orig", ["isFraud"], "median_balance_err_orig")
+    return shares.join(F.broadcast(median), "isFraud", "left")  # a row for each label

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditspark.config import DAY
+from auditspark.operators.protocol import exact_rank
 
 #: Columns V1.. of each service; a regime is the set of services without data.
 SERVICES = (11, 23, 18, 22, 20, 16)
@@ -61,7 +62,7 @@ def generate(spark: SparkSession, entities: int = 3000, days: int = 180, comprom
             at += 1
             columns[f"V{at}"] = F.when(mask.bitwiseAND(F.lit(1 << s)) == 0, F.round(v(f"v{at}") * 10, 3))
     x = x.withColumns(columns)
-    x = x.withColumn("TransactionID", FIRST_ID + F.row_number().over(Window.orderBy("TransactionDT", "true_entity", "k")))  # a generator's size
+    x = exact_rank(x, F.col("TransactionDT"), F.col("true_entity"), F.col("k")).withColumn("TransactionID", FIRST_ID + 1 + F.col("rank"))
     txn = x.select("TransactionID", "isFraud", "TransactionDT", "TransactionAmt", "ProductCD", "card1", "card2", "card3", "card4", "card5", "card6", "addr1", "addr2", "dist1", "P_emaildomain", "R_emaildomain", "D1", "D2", "D3", "D15", *(f"C{i}" for i in range(1, 15)), *(f"M{i}" for i in range(1, 10)), *columns)
     ident = x.where(v("identity") < identity_share).select(
         "TransactionID", (v("id1") * -100).alias("id_01"), (v("id2") * 1e5).alias("id_02"), F.concat(F.lit("os"), F.floor(u("id30") * 6).cast("string")).alias("id_30"),

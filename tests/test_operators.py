@@ -250,3 +250,45 @@ def test_command_line(capsys):
     assert main(["list"]) == 0 and "assoc_risk_gated" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         main(["run", "nothing"])
+
+
+def test_quantiles_of_any_column_by_group(spark):
+    r = random.Random(4)
+    rows = [(i, "ab"[i % 2], float(r.choice([0.0, 1.5, r.random() * 9])) if i % 11 else None) for i in range(500)]
+    df = frame(spark, rows, "row_id long, g string, v double")
+    for q in (0.0, 0.25, 0.5, 0.99, 1.0):
+        want = {x.g: x.p for x in df.groupBy("g").agg(F.percentile("v", F.lit(q)).alias("p")).collect()}
+        assert {x.g: x.threshold for x in M.quantile(df, q, "v", ["g"]).collect()} == pytest.approx(want)
+        assert M.quantile(df, q, "v").first()[0] == pytest.approx(df.agg(F.percentile("v", F.lit(q))).first()[0])
+    assert M.quantile(df.limit(0), 0.5, "v").first()[0] is None
+
+
+def test_neighbours_across_blocks_equal_brute_force(spark):
+    r = random.Random(5)
+    rows = [(i, [float(r.randrange(4)), float(r.randrange(4)), r.choice([0.0, 1e6])]) for i in range(90)]
+    df = frame(spark, rows, "row_id long, vector array<double>")
+    want = {}
+    for i, v in rows:
+        near = sorted((sum((a - b) ** 2 for a, b in zip(v, w, strict=True)) ** 0.5, j) for j, w in rows if j != i)[:5]
+        want[i] = [(j, round(d, 9)) for d, j in near]
+    for size in (1000, 20):
+        got = {}
+        for x in ML.nearest_neighbours(df, 5, block_rows=size).orderBy("id", "rank").collect():
+            got.setdefault(x.id, []).append((x.neighbour, round(x.distance, 9)))
+        assert got == want
+
+
+def test_counters_are_chained_across_buckets(spark):
+    r = random.Random(6)
+    rows = [(i, r.choice("abc"), r.randrange(400), r.choice([None, float(r.randrange(6))])) for i in range(300)]
+    df = frame(spark, rows, "row_id long, entity string, t long, C1 double")
+    whole = E.counter_violations(df, ["C1"], bucket=10_000).first()
+    assert all(E.counter_violations(df, ["C1"], bucket=b).first() == whole for b in (1, 7, 60)) and whole.n_falls > 0
+
+
+def test_no_task_ranks_or_samples_all_rows(spark):
+    df = frame(spark, [(i, i % 7, 0.5, 1.0, i % 3 % 2) for i in range(100)], "row_id long, t long, score double, amount double, y int")
+    for out in (P.sampled(df, 10), P.chronological_split(df), M.budget_recall(df, 0.1), S.factorized(df, "t", "row_id", "code"), M.quantile(df, 0.5)):
+        plan = out._jdf.queryExecution().toString()
+        assert "TakeOrderedAndProject" not in plan and "percentile" not in plan and "GlobalLimit" not in plan
+    assert P.sampled(df, 10).count() == 10
