@@ -7,7 +7,8 @@ stage's tasks at most. All stages but the last return the columns of ``documents
 1. quality: documents that the line field calls bad go;
 2. near_duplicates: of every group of near copies (five-word shingles, 0.8) the smallest id stays;
 3. decontamination: the words of benchmark phrases are cut out, the documents stay;
-4. surrogates: personal data and secrets are replaced, the documents stay;
+4. surrogates: personal data and secrets are replaced, the documents stay (the session sets the
+   secret key as ``auditspark.surrogates.key``);
 5. packing: every document's tokens in sequences of at most 4096.
 
 Stages 1, 3 and 4 are models or byte-level rewriting, so SQL cannot express the whole.
@@ -15,13 +16,11 @@ Stages 1, 3 and 4 are models or byte-level rewriting, so SQL cannot express the
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from auditspark.llm import fmindex, line_quality, minhash, packing, surrogates
 from auditspark.llm.queries import tokenizer_path
-from auditspark.llm.storage import bounded_batches, packed_row, read, shared_folder, unpacked_row
+from auditspark.llm.storage import Scratch, bounded_batches, packed_row, read, unpacked_row
 
 NEAR = minhash.MinMaxHash(words=5, percent=80)
 
@@ -60,11 +59,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``, each written to the shared folder and read again; a stage's input goes when its output is there."""
+    scratch = Scratch(spark, "pipeline")
     docs = read(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{folder}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for _, stage in STAGES:
+        given, docs = docs, scratch.save(stage(spark, docs, sf_dir))
+        scratch.drop(given)
     return docs
