@@ -154,11 +154,16 @@ def tuned(train: DataFrame, features: Sequence[str], model: str, budget: int, se
 
 
 def fit_score(train: DataFrame, test: DataFrame, features: Sequence[str], model: str = "gbt", seed: int = 0, miss_cost: float | None = None, parameters: dict | None = None) -> DataFrame:
-    """``test`` with ``score``. Positives weigh ``miss_cost``, or as much as the negatives together."""
+    """``test`` with ``score``. Positives weigh ``miss_cost``, or as much as the negatives together.
+
+    Nulls take the training median; a feature without any training value is 0 throughout.
+    """
     if miss_cost is None:
         n = train.agg(F.sum("y"), F.count("*")).first()
         miss_cost = max(1.0, (n[1] - n[0]) / max(1, n[0]))
     weighted = train.withColumn("weight", F.when(F.col("y") == 1, float(miss_cost)).otherwise(1.0))
-    fitted = registry()[model](features, seed, **(parameters or {})).fit(weighted)
-    out = fitted.transform(test)
+    met = train.agg(*(F.count(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(c) for c in features)).first()
+    empty = {c: F.lit(0.0) for c in features if not met[c]}
+    fitted = registry()[model](features, seed, **(parameters or {})).fit(weighted.withColumns(empty) if empty else weighted)
+    out = fitted.transform(test.withColumns(empty) if empty else test)
     return out.withColumn("score", vector_to_array("probability")[1]).select(*test.columns, "score")

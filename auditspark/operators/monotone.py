@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -71,25 +73,48 @@ class MonotoneModel:
         return df.withColumn("score", score(*(F.col(c).cast("double") for c in self.features)))
 
     def contributions(self, x: np.ndarray) -> np.ndarray:
-        """Each feature's share of every row's raw score: the change of the expected value along the path."""
+        """Each feature's Shapley value in every row's raw score, given the trees' covers.
+
+        A set of known features sends a row down its own side at their splits and down both
+        sides, by cover, at the others. A leaf is reached by the product over its path's
+        features of "on the path" (0 or 1) where known and of the share of the cover where not,
+        so its value is shared out over the subsets of those few features.
+        """
         out = np.zeros((len(x), len(self.features)))
         for t in self.trees:
-            mean = np.array(t.value, float)
-            for n in range(len(t.feature) - 1, -1, -1):
-                if t.feature[n] >= 0:
-                    a, b = t.left[n], t.right[n]
-                    mean[n] = (mean[a] * t.cover[a] + mean[b] * t.cover[b]) / max(t.cover[n], 1e-12)
-            at = np.zeros(len(x), np.int64)
-            feature = np.array(t.feature)
-            while (inner := feature[at] >= 0).any():
-                i = np.flatnonzero(inner)
-                f = feature[at[i]]
-                new = np.where(x[i, f] > np.array(t.threshold)[at[i]], np.array(t.right)[at[i]], np.array(t.left)[at[i]])
-                np.add.at(out, (i, f), self.rate * (mean[new] - mean[at[i]]))
-                at[i] = new
+            for value, path in _paths(t):
+                inside = {f: np.all([(x[:, f] > at) == right for at, right, _ in steps], axis=0).astype(float) for f, steps in path.items()}
+                share = {f: float(np.prod([s for *_, s in steps])) for f, steps in path.items()}
+                for f in path:
+                    others = [g for g in path if g != f]
+                    reach = np.zeros(len(x))
+                    for size in range(len(others) + 1):
+                        weight = 1 / (len(path) * comb(len(others), size))
+                        for known in combinations(others, size):
+                            part = np.full(len(x), weight * float(np.prod([share[g] for g in others if g not in known])))
+                            for g in known:
+                                part *= inside[g]
+                            reach += part
+                    out[:, f] += self.rate * value * (inside[f] - share[f]) * reach
         return out
 
 
+def _paths(t: Tree) -> Iterator[tuple[float, dict[int, list[tuple[float, bool, float]]]]]:
+    """Every leaf's value, and by feature the (threshold, to the right?, share of the cover) of the splits on its path."""
+    waiting: list[tuple[int, list[tuple[int, float, bool, float]]]] = [(0, [])]
+    while waiting:
+        n, steps = waiting.pop()
+        if t.feature[n] < 0:
+            path: dict[int, list[tuple[float, bool, float]]] = {}
+            for f, *rest in steps:
+                path.setdefault(f, []).append(tuple(rest))
+            yield t.value[n], path
+            continue
+        for child, right in ((t.left[n], False), (t.right[n], True)):
+            whole = t.cover[t.left[n]] + t.cover[t.right[n]]
+            waiting.append((child, [*steps, (t.feature[n], t.threshold[n], right, t.cover[child] / max(whole, 1e-12))]))
+
+
 def fit(df: DataFrame, features: Sequence[str], rising: Sequence[str] = (), rounds: int = 20, depth: int = 3, bins: int = 32, rate: float = 0.3, l2: float = 3.0, least: float = 20.0, miss_cost: float = CONFIG.miss_cost) -> MonotoneModel:
     """A boosted ensemble on (features, y); positives weigh ``miss_cost``."""
     features = list(features)
@@ -184,23 +209,32 @@ def _split(tree: Tree, cells: pd.DataFrame, nodes: list[int], bound: dict, edges
     return out
 
 
-def violations(model: MonotoneModel, df: DataFrame, rising: Sequence[str], steps: int = 12, probes: int = 200, tolerance: float = 1e-3) -> pd.DataFrame:
-    """(feature, worst_drop, violated): sweeps of each constrained feature over its range at some probe rows."""
-    x = df.select(*(F.col(c).cast("double") for c in model.features)).limit(probes).toPandas().to_numpy(float)
+def violations(model: MonotoneModel, df: DataFrame, rising: Sequence[str], steps: int = 12, tolerance: float = 1e-3) -> pd.DataFrame:
+    """(feature, worst_drop, violated): sweeps of each constrained feature over its range, at every row."""
+    rising = list(rising)
+    if not rising:
+        return pd.DataFrame(columns=["feature", "worst_drop", "violated"])
     limits = df.agg(*(f(F.col(c).cast("double")).alias(f"{n}_{c}") for c in rising for n, f in (("lo", F.min), ("hi", F.max)))).first()
-    rows = []
-    for c in rising:
-        i, worst, last = model.features.index(c), 0.0, None
-        if limits[f"lo_{c}"] is None:
-            continue
-        for v in np.linspace(limits[f"lo_{c}"], limits[f"hi_{c}"], steps):
-            swept = x.copy()
-            swept[:, i] = v
-            now = model.score(swept)
-            worst = max(worst, float((last - now).max())) if last is not None else 0.0
-            last = now
-        rows.append((c, worst, worst > tolerance))
-    return pd.DataFrame(rows, columns=["feature", "worst_drop", "violated"])
+    ranges = {c: (limits[f"lo_{c}"], limits[f"hi_{c}"]) for c in rising if limits[f"lo_{c}"] is not None}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worst = dict.fromkeys(ranges, 0.0)
+        for b in batches:
+            x = b.to_numpy(float)
+            for c, (low, high) in ranges.items():
+                i, last = model.features.index(c), None
+                for v in np.linspace(low, high, steps):
+                    swept = x.copy()
+                    swept[:, i] = v
+                    now = model.score(swept)
+                    worst[c] = max(worst[c], float((last - now).max())) if last is not None and len(x) else worst[c]
+                    last = now
+        yield pd.DataFrame({"feature": list(worst), "worst_drop": list(worst.values())})
+
+    chosen = df.select(*(F.col(c).cast("double").alias(c) for c in model.features))
+    found = chosen.mapInPandas(run, "feature string, worst_drop double").groupBy("feature").agg(F.max("worst_drop").alias("worst_drop")).toPandas()
+    found = found.sort_values("feature").reset_index(drop=True)
+    return found.assign(violated=found["worst_drop"] > tolerance)
 
 
 def reason_codes(model: MonotoneModel, alerts: DataFrame, rising: Sequence[str], threshold: float, id_col: str = "row_id") -> DataFrame:
@@ -239,8 +273,17 @@ def reason_codes(model: MonotoneModel, alerts: DataFrame, rising: Sequence[str],
     return chosen.mapInPandas(run, "row_id long, feature string, value double, clearing double, relative_change double")
 
 
-def mass(model: MonotoneModel, df: DataFrame, at_most: int = 3000) -> pd.DataFrame:
-    """(feature, share) of the mean absolute contributions over some rows."""
-    x = df.select(*(F.col(c).cast("double") for c in model.features)).limit(at_most).toPandas().to_numpy(float)
-    m = np.abs(model.contributions(x)).mean(0) if len(x) else np.zeros(len(model.features))
+def mass(model: MonotoneModel, df: DataFrame) -> pd.DataFrame:
+    """(feature, share) of the mean absolute contributions over all rows."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(model.features))
+        for b in batches:
+            if len(b):
+                total += np.abs(model.contributions(b.to_numpy(float))).sum(0)
+        yield pd.DataFrame({"feature": model.features, "total": total})
+
+    chosen = df.select(*(F.col(c).cast("double").alias(c) for c in model.features))
+    found = dict(chosen.mapInPandas(run, "feature string, total double").groupBy("feature").agg(F.sum("total")).collect())
+    m = np.array([found.get(c) or 0.0 for c in model.features])
     return pd.DataFrame({"feature": model.features, "share": m / max(m.sum(), 1e-12)})

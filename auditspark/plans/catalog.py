@@ -1,6 +1,8 @@
 """Every analytics query over the TPC-H-like tables, and its SQL (``plans.oracle``).
 
-Each covers its whole tables. Orders span 2,400 days, so their folds are 90 days long
+Those that read tables cover them whole; ``paysim_residuals``, ``paysim_evidence``,
+``feature_families`` and ``ladder_vs_hypothesis`` read a few fixed rows, since no table has
+their columns, and ``synth_invariants`` the generator's. Orders span 2,400 days, so their folds are 90 days long
 after 360 days of history.
 """
 

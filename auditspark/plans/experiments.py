@@ -14,8 +14,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditspark.config import ABLATIONS, CONFIG, DAY, LADDER, UNCONSTRAINED, Rung
-from auditspark.functions.scalar import assert_label_free, family
+from auditspark.config import ABLATIONS, CONFIG, DAY, LADDER, UID_RECIPES, UNCONSTRAINED, Rung
+from auditspark.functions.scalar import assert_label_free, block_key, family
 from auditspark.operators import entities as E
 from auditspark.operators import metrics as M
 from auditspark.operators import models as ML
@@ -74,6 +74,9 @@ def features(p: Prepared, f: Fold, latency: int, past_only: bool = True, drop: S
     if "missingness" not in drop and p.blocks:
         missing = R.missing_features(flagged, p.blocks)
         parts.append(missing.select("row_id", *(c for c in missing.columns if c.startswith("miss_"))))
+        # Regimes are mined from the training rows' patterns; every row has its nearest one.
+        regimes = saved(R.retained(R.patterns(f.train, p.blocks)), "regimes")
+        parts.append(R.assigned(flagged, p.blocks, regimes).select("row_id", "regime"))
     for part in parts:
         wide = wide.join(part, "row_id")
     names = [c for c in wide.columns if c not in ("row_id", "_train", "t", "entity", "y", "amount", "is_index")]
@@ -97,6 +100,8 @@ def resampled(train: DataFrame, test: DataFrame, names: Sequence[str], how: str,
 
 def with_regimes(p: Prepared, f: Fold, train: DataFrame, test: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both with ``regime``, from the training rows' null patterns; null without blocks and for synthetic rows."""
+    if "regime" in train.columns:
+        return train, test
     if not p.blocks:
         return tuple(df.withColumn("regime", F.lit(None).cast("int")) for df in (train, test))
     regimes = saved(R.retained(R.patterns(f.train, p.blocks)), "regimes")
@@ -110,7 +115,7 @@ def scored(train: DataFrame, test: DataFrame, names: Sequence[str], model: str,
     """
     if model != "monotone":
         return ML.fit_score(train, test, names, model, seed)
-    rising = [c for c in names if c.startswith("risk_") or c in ("mem_known_compromised", "mem_prior_fraud_count")]
+    rising = [c for c in names if c in K.constrained_features([x.removeprefix("risk_") for x in names if x.startswith("risk_")])]
     fitted = G.fit(train, names, rising if enforce else (), rounds)
     return ML.isotonic(saved(fitted.transform(train).select("regime", "score", "y"), "raw"), saved(fitted.transform(test), "raw"))
 
@@ -158,9 +163,7 @@ def _run_rung(p: Prepared, rung: Rung, model: str, seeds: Sequence[int], at_most
         if rung.random_split:
             splits = P.random_folds(p.rows, 3 if at_most is None else at_most, seed=seed)
             for k in range(3 if at_most is None else at_most):
-                own = splits.where(F.col("split") == k)
-                f = Fold(k, p.rows.join(own.where("role = 'train'").select("row_id"), "row_id"), p.rows.join(own.where("role = 'test'").select("row_id"), "row_id"))
-                rows.append(run_fold(p, f, model, seed, rung.latency, rung.past_only, resample=rung.resample) | {"rung": rung.key})
+                rows.append(run_fold(p, _random_fold(p, k, splits), model, seed, rung.latency, rung.past_only, resample=rung.resample) | {"rung": rung.key})
         else:
             rows += [run_fold(p, f, model, seed, rung.latency, rung.past_only, resample=rung.resample) | {"rung": rung.key} for f in folds(p, rung.latency, rung.entity_disjoint, at_most)]
     return rows
@@ -211,27 +214,54 @@ def drift_and_decay(p: Prepared, model: str = "gbt", latency: int = CONFIG.headl
     return R.nearest_fold(series, scored)
 
 
-def entity_table(variants: dict[str, DataFrame]) -> DataFrame:
-    """T2: statistics of the entities that each recipe finds."""
+def entity_variants(df: DataFrame, weights: dict[str, float], guarded: Sequence[str] = E.GUARDED, day_key: str = "D15n", recipes: dict[str, Sequence[str]] = UID_RECIPES) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """By recipe, ``df`` with the ``entity`` it finds, and the merges it rejects."""
+    found, rejects = {}, {}
+    for name, recipe in recipes.items():
+        blocked = df.withColumns({"block": block_key([F.col(c) for c in recipe], F.col("row_id")), "coarse": block_key([F.col(c) for c in (recipe[0], recipe[-1])], F.col("row_id"))})
+        guards = [c for c in guarded if c in df.columns]
+        found[name] = E.resolved(blocked.drop("entity"), "block", "coarse", weights, guards, day_key).withColumnRenamed("entity_block", "entity")
+        rejects[name] = E.merge_rejects(blocked, "block", "coarse", weights, guards, day_key)
+    return found, rejects
+
+
+def entity_table(variants: dict[str, DataFrame], counters: Sequence[str] = (), rejects: dict[str, DataFrame] | None = None) -> DataFrame:
+    """T2: statistics of the entities that each recipe finds, how often counters fall within them, and the merges rejected."""
     out = None
     for name, df in variants.items():
         one = E.entity_sizes(df).crossJoin(E.entity_purity(df)).crossJoin(E.left_truncated(df).select("n_left_truncated"))  # single rows
         if "true_entity" in df.columns:
             one = one.crossJoin(E.pair_quality(df, "entity", "true_entity"))
+        if counters:
+            one = one.crossJoin(E.counter_violations(df, counters).select(F.col("n_pairs").alias("c_pairs"), F.col("violation_rate").alias("c_violation_rate")))
+        if rejects and name in rejects:
+            one = one.crossJoin(rejects[name])
         one = one.select(F.lit(name).alias("uid_variant"), "*")
         out = one if out is None else out.unionByName(one, allowMissingColumns=True)
     return out
 
 
-def attribution_migration(p: Prepared, at_most: int = 1) -> DataFrame:
-    """feature mass by family under the leaky and the closed protocol, in the last fold used."""
+def _middle(found: Sequence[Fold]) -> Fold | None:
+    return found[len(found) // 2] if found else None
+
+
+def _random_fold(p: Prepared, k: int, splits: DataFrame) -> Fold:
+    own = splits.where(F.col("split") == k)
+    return Fold(k, p.rows.join(own.where("role = 'train'").select("row_id"), "row_id"), p.rows.join(own.where("role = 'test'").select("row_id"), "row_id"))
+
+
+def attribution_migration(p: Prepared, seed: int = 0) -> DataFrame:
+    """feature mass by family in the middle fold of the leakiest protocol (random splits) and of the closed one."""
+    leaky = _random_fold(p, 1, P.random_folds(p.rows, 3, seed=seed))
+    closed = _middle(list(folds(p, CONFIG.headline_latency, True)))
     parts = None
-    for protocol, latency, past_only, disjoint in (("leaky", 0, False, False), ("closed", CONFIG.headline_latency, True, True)):
-        for f in folds(p, latency, disjoint, at_most):
-            train, test, names = features(p, f, latency, past_only)
-            m = p.rows.sparkSession.createDataFrame(G.mass(G.fit(train, names, rounds=p.rounds), test))
-            one = m.groupBy(family(F.col("feature")).alias("family")).agg(F.sum("share").alias("share")).withColumn("protocol", F.lit(protocol))
-            parts = one if parts is None else parts.unionByName(one)
+    for protocol, f, latency, past_only in (("leaky", leaky, 0, False), ("closed", closed, CONFIG.headline_latency, True)):
+        if f is None:
+            continue
+        train, test, names = features(p, f, latency, past_only)
+        m = p.rows.sparkSession.createDataFrame(G.mass(G.fit(train, names, rounds=p.rounds), test))
+        one = m.groupBy(family(F.col("feature")).alias("family")).agg(F.sum("share").alias("share")).withColumn("protocol", F.lit(protocol))
+        parts = one if parts is None else parts.unionByName(one)
     return M.migration(parts)
 
 
@@ -247,7 +277,7 @@ def faithfulness(p: Prepared, latency: int = CONFIG.headline_latency, at_most: i
         codes = G.reason_codes(held, alerts, rising, limit)
         covered = codes.agg(F.count("*"), F.count("feature")).first()
         ranks = [M.ranking(m.transform(test)).first() for m in (held, free)]
-        drops = G.violations(held, test, rising)
+        drops = G.violations(held, test, rising)  # a row for each constrained feature
         rows.append({"start": f.start, "auprc_monotone": ranks[0].auprc, "auprc_free": ranks[1].auprc, "worst_drop": float(drops["worst_drop"].max()) if len(drops) else 0.0, "n_alerts": covered[0], "n_explained": covered[1]})
     return table(p.rows, rows)
 

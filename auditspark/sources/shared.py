@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's shared folder; only where it names none (tests), a temporary one."""
+    """The session's shared folder; only where it names none, on one machine (tests), a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("a cluster needs a folder that all its machines share in spark.checkpoint.dir")
         at = f"file://{tempfile.mkdtemp(prefix='audit-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at

@@ -292,3 +292,39 @@ def test_no_task_ranks_or_samples_all_rows(spark):
         plan = out._jdf.queryExecution().toString()
         assert "TakeOrderedAndProject" not in plan and "percentile" not in plan and "GlobalLimit" not in plan
     assert P.sampled(df, 10).count() == 10
+
+
+def test_contributions_are_shapley_values():
+    """Against all subsets of known features, a tree walked down both sides where a feature is not known."""
+    import itertools
+
+    import numpy as np
+
+    t = G.Tree([0, 1, 0, -1, -1, 2, -1, -1, -1], [0.5, 0.3, 0.8, 0.0, 0.0, 0.1, 0.0, 0.0, 0.0], [1, 3, 5, -1, -1, 7, -1, -1, -1], [2, 4, 6, -1, -1, 8, -1, -1, -1], [0, 0, 0, 1.5, -2.0, 0, 4.0, 0.7, -0.4], [10, 4, 6, 1, 3, 4, 2, 3, 1])
+    m = G.MonotoneModel(["a", "b", "c"], 0.25, [t, t], 0.3)
+
+    def expected(n, row, known):
+        if t.feature[n] < 0:
+            return t.value[n]
+        sides = t.left[n], t.right[n]
+        if t.feature[n] in known:
+            return expected(sides[int(row[t.feature[n]] > t.threshold[n])], row, known)
+        return sum(t.cover[c] * expected(c, row, known) for c in sides) / sum(t.cover[c] for c in sides)
+
+    rows = np.array([[0.2, 0.1, 0.0], [0.6, 0.9, 0.05], [0.9, 0.2, 0.5], [0.7, math.nan, 0.2]])
+    for row, got in zip(rows, m.contributions(rows), strict=True):
+        for f in range(3):
+            rest = [g for g in range(3) if g != f]
+            want = 0.0
+            for size in range(3):
+                for known in itertools.combinations(rest, size):
+                    weight = math.factorial(size) * math.factorial(2 - size) / math.factorial(3)
+                    want += 0.6 * weight * (expected(0, row, {*known, f}) - expected(0, row, set(known)))
+            assert got[f] == pytest.approx(want)
+
+
+def test_merges_rejected_are_counted(spark):
+    rows = [(1, "a", "c", "x", "p", 0), (2, "b", "c", "x", "q", 0), (3, "d", "c", "y", "p", 0), (4, "e", "c", "x", "p", 9), (5, "f", "z", "x", "p", 0)]
+    df = frame(spark, rows, "row_id long, block string, coarse string, u string, v string, D15n long")
+    one = E.merge_rejects(df, "block", "coarse", {"u": 1.0}, ("v",), "D15n", 0.5).first()
+    assert (one.score_rejects, one.conflict_rejects) == (1, 2)

@@ -110,6 +110,25 @@ def test_explanations(spark):
     assert t6.worst_drop <= 1e-9 and t6.n_alerts >= 1
 
 
+def test_entity_recipes_and_their_table(spark):
+    txn, _, truth = synthetic.generate(spark, entities=80, seed=3)
+    df = txn.join(truth.select("TransactionID", "true_entity", "within"), "TransactionID").withColumnRenamed("TransactionID", "row_id")
+    df = df.withColumns({"t": F.col("TransactionDT"), "y": F.col("isFraud"), "D1n": S.first_day_key(F.col("TransactionDT"), F.col("D1")), "D15n": S.rounded_first_day_key(F.col("TransactionDT"), F.col("D15"))})
+    found, rejects = X.entity_variants(df, {"card2": 1.0, "addr1": 1.0, "P_emaildomain": 0.5})
+    table = X.entity_table(found, ["C1", "C2"], rejects).toPandas().set_index("uid_variant")
+    assert set(table.index) == {"loose", "medium", "strict"} and (table["pair_f1"] > 0.5).all()
+    assert table.loc["strict", "n_entities"] >= table.loc["medium", "n_entities"] and table["c_violation_rate"].between(0, 1).all() and (table["score_rejects"] >= 0).all()
+
+
+def test_stages_of_the_command_line(spark, tmp_path, monkeypatch):
+    from auditspark import __main__ as cli
+
+    assert cli.main(["stages"]) == 0
+    out = str(tmp_path / "tables")
+    assert cli.main(["stage", "T2", "F3", "--entities", "150", "--model", "logreg", "--folds", "1", "--out", out]) == 0
+    assert report.load_table(spark, "T2", out).count() == 3 and report.load_table(spark, "F3", out).count() > 3
+
+
 def test_paysim_ladder(spark):
     base = [r for r in oracle.PAYSIM_ROWS]
     rows = [(k, k // 5, "T", r[1] + k % 7, *r[2:6], r[6], r[7]) for k, r in enumerate(base * 20)]
