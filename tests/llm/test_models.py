@@ -164,6 +164,20 @@ def test_quality_held_out(spark, planted, docs, empty):
     assert line_quality.judged(spark, empty, labels).count() == 0
 
 
+def test_quality_of_odd_rows(spark, planted):
+    d, labels = planted
+    long_ = "a calm line of ten words or so stands here again\n" * 40_000
+    rows = [(900, "one plain line of words")] * 3 + [(901, long_), (902, None), (None, "no id at all here")]
+    given = d.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string")).withColumns({"score": F.lit("x"), "held_out": F.lit(7), "_line_score": F.lit(2)})
+    found = {}
+    for x in line_quality.judged(spark, given, labels.union(labels)).where("doc_id >= 900 or doc_id is null").collect():
+        found.setdefault(x.doc_id, []).append(x)
+    assert len(found[900]) == 3 and len(set(found[900])) == 1 and found[902][0].score == 0.0
+    assert 0 <= found[901][0].score <= 1 and found[None][0].held_out is False
+    kept = line_quality.good_documents(spark, given, labels)
+    assert kept.columns == given.columns and kept.where("doc_id = 900").count() in (0, 3)
+
+
 def test_languages_held_out(spark, docs, empty):
     d = spark.read.parquet(f"{SMALL}/documents.parquet")
     found = language_id.predicted(spark, d).join(d.select("doc_id", "lang"), "doc_id").where("held_out")

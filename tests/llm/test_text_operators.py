@@ -20,6 +20,7 @@ from auditspark.llm import bytetext as B
 from auditspark.llm import fmindex, induced, minhash, packing, quality_rules, suffix_dedup
 from auditspark.llm.queries import OP1, tokenizer_path
 from auditspark.llm.storage import Scratch
+from support import SMALL
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -132,6 +133,33 @@ def test_packing_of_odd_texts(spark, docs, odd_texts, empty):
     assert packing.packed(spark, empty, tokenizer_path()).count() == 0
 
 
+def test_packing_of_whole_tables_repeats_and_clashing_columns(spark):
+    """Every text of the smallest documents against the plain tokenizer; rows that repeat are packed as often as they come."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer_path())
+    whole = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    given = whole.union(whole.where("doc_id < 20")).union(spark.createDataFrame([(None, "an id is missing")] * 2, "doc_id long, text string"))
+    clash = given.withColumns({"piece": F.lit("x"), "length": F.lit(None), "sequence_id": F.lit(0), "rank": F.lit(1), "salt": F.lit(2)})
+    want = Counter()
+    for i, text in given.collect():
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
+        for k in range(0, len(ids), 4096):
+            want[i, k // 4096, k, len(ids[k : k + 4096]), zlib.crc32(np.array(ids[k : k + 4096], "<u4").tobytes())] += 1
+    rows = packing.packed(spark, clash, tokenizer_path()).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    places = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    assert all(b[1] == (a[1] + a[2] if a[0] == b[0] else 0) for a, b in zip(places, places[1:], strict=False)) and max(o + n for _, o, n in places) <= 4096
+    rooms: list[int] = []
+    for n in sorted((r.length for r in rows), reverse=True):
+        fit = [(room, i) for i, room in enumerate(rooms) if room >= n]
+        if fit:
+            rooms[min(fit)[1]] -= n
+        else:
+            rooms.append(4096 - n)
+    assert len({s for s, *_ in places}) == len(rooms)
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text(alphabet="abXZ .,\n'’s1é́İΣ中<|\x0b\x85", max_size=25), max_size=4))
 def test_encoder_is_exact(texts):
