@@ -7,13 +7,15 @@ the full shingle sets.
 
 Scale: documents with the same shingle set are folded into one node before anything
 is compared. Within a band bucket, members are held against one pivot at a time (a
-star, linear in the bucket), components are contracted, and only buckets that still
-hold several components go on. When the pairs left are at most ``PAIRS_A_ROW`` for
-each bucket row, or the pivot rounds are used up, all of them are met in one join, so
-no link is lost to a limit. That join drops, before it makes a row, each pair whose
-parity sketches differ in more bits than the sets may differ in members; a member of
-one set alone flips one bit, so no link can be dropped. Hubs are joined through
-shuffles whose skewed partitions Spark splits.
+star, linear in the bucket), the pivot leaves the bucket, components are contracted,
+and only buckets that still hold several components go on. After ``pivot_rounds`` the
+pivots of a round double, up to ``PIVOTS``, so a round never makes more than so many
+pairs for each bucket row. Once the pairs left are at most ``PAIRS_A_ROW`` for each row,
+they are met in one join, so no link is lost to a limit; a bucket of more than ``SALTED``
+rows is dealt over as many tasks as it takes. That join drops, before it makes a row,
+each pair whose parity sketches differ in more bits than the sets may differ in members;
+a member of one set alone flips one bit, so no link can be dropped. Hubs are joined
+through shuffles whose skewed partitions Spark splits.
 
 Edge cases: a null or wordless text has an empty set and is linked with nothing; a
 text of fewer words than a shingle has one shingle, the whole sequence; a null id is
@@ -27,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bytetext as B
@@ -37,6 +39,8 @@ from .storage import Scratch, sent_if_small
 SKETCH = 16
 #: Pairs for each bucket row up to which those left are met at once.
 PAIRS_A_ROW = 256
+#: Pivots of a bucket in one round at most, and rows of a bucket that meet in one task of the last join.
+PIVOTS, SALTED = 256, 1024
 
 _FEATURES = "id long, n long, fp1 long, fp2 long, bands array<long>"
 _SETS = "id long, fp1 long, fp2 long, shingles array<long>, sketch array<long>"
@@ -47,7 +51,7 @@ class MinMaxHash:
     """Production parameters. ``percent``: least similarity, in hundredths.
 
     ``miss``: the chance that banding misses a pair just at the threshold; the number
-    of bands follows from it.
+    of bands follows from it. ``pivot_rounds``: rounds of one pivot a bucket, before they double.
     """
 
     words: int = 5
@@ -217,7 +221,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: MinMaxHash, id_col:
     edges = spark.createDataFrame([], "a long, b long")
     tested = edges
     labels = None
-    for turn in range(p.pivot_rounds + 1):
+    turn = -1
+    while True:
+        turn += 1
         at = buckets.withColumn("c", F.col("id")) if labels is None else buckets.join(labels, "id", "left").select("id", "n", "key", F.coalesce("component", "id").alias("c"))
         if labels is not None:
             open_keys = at.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x < y").select("key")
@@ -226,20 +232,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, p: MinMaxHash, id_col:
         left, pairs_left = by_key.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()
         if not left:
             break
-        last = turn and (turn == p.pivot_rounds or pairs_left <= PAIRS_A_ROW * left)
+        last = bool(turn and pairs_left <= PAIRS_A_ROW * left)
         if last:
-            met = at.join(sketches, "id")
-            x = met.select(*(F.col(c).alias(f"{c}_a") for c in met.columns))
+            salts = by_key.select("key", F.ceil(F.col("m") / SALTED).cast("int").alias("salts"))
+            met = at.join(sketches, "id").join(salts, "key")
+            x = met.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).drop("salts")
+            x = x.select(*(F.col(c).alias(f"{c}_a") for c in x.columns))
+            met = met.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
             differ = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}"))) for i in range(SKETCH)), F.lit(0))
             # |A xor B| is at most this share of |A| + |B| where the similarity is reached.
             near = (200 - (100 - p.percent)) * differ <= (100 - p.percent) * (F.col("n_a") + F.col("n"))
-            pairs = x.join(met, (F.col("key_a") == F.col("key")) & (F.col("c_a") != F.col("c")) & (F.col("id_a") < F.col("id")) & near)
+            pairs = x.join(met, (F.col("key_a") == F.col("key")) & (F.col("salt_a") == F.col("salt")) & (F.col("c_a") != F.col("c")) & (F.col("id_a") < F.col("id")) & near)
             pairs = pairs.select(F.col("id_a").alias("a"), F.col("n_a").alias("na"), "id", "n")
         else:
             x = at.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), "key")
-            order = F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.col("id"), F.col("id"))
-            pivot = at.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("id"), F.col("n"), F.col("c"))).alias("p"))
-            pairs = x.join(pivot.select("key", "p.id", "p.n", "p.c"), "key").where("ca <> c")
+            order = (F.xxhash64("id", F.lit(turn)) if turn else F.col("id"), F.col("id"))
+            if turn < p.pivot_rounds:
+                pivot = at.groupBy("key").agg(F.min(F.struct(F.struct(*order).alias("o"), F.col("id"), F.col("n"), F.col("c"))).alias("p")).select("key", "p.id", "p.n", "p.c")
+            else:
+                many = min(PIVOTS, 2 << (turn - p.pivot_rounds))
+                pivot = at.withColumn("o", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("o") <= many).select("key", "id", "n", "c")
+            pivot = scratch.save(pivot)
+            pairs = x.join(pivot, "key").where("ca <> c")
+            # All pairs of a pivot in its bucket are tested now; buckets of one component stay out.
+            buckets = at.select("id", "n", "key").join(pivot.select("key", "id"), ["key", "id"], "left_anti")
         pairs = pairs.where(100 * F.least("na", "n") >= p.percent * F.greatest("na", "n"))
         pairs = pairs.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
         if labels is not None:
