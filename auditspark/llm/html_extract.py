@@ -5,8 +5,11 @@ text, from the leaves up) are counted per host in Spark, inside and outside arti
 subtree in at least ``MANY`` different articles of a host, however large the host, is
 the site's template and is deleted. Copies of an article count once, and near copies not at
 all: an article is evidence for a subtree if at least ``OWN`` of its other text is in
-blocks that do not recur. Inside an article, lists and tables are judged whole, and
-headings with the section they stand in. What elements and class names mark as menus,
+blocks that do not recur. What a site puts into its articles stands at the same place
+in them, a line that only happens to recur does not: inside articles a template is what at
+least ``PLACED`` of those that hold it hold at one place among its neighbours, counted
+from the first or from the last. There lists and tables are judged whole, and headings
+with the section they stand in. What elements and class names mark as menus,
 notices, adverts, forms, comments and the like is deleted too; inside an article only
 elements of these kinds and classes that name one of them outright count, so that no
 other part of it is lost for its class. The blocks of the article, or of what is left
@@ -39,6 +42,8 @@ from .storage import Scratch, with_columns_free
 MANY = 10
 #: Share of an article's other text that does not recur, for it to be evidence.
 OWN = 0.5
+#: Share of the articles with a subtree that have it at one place.
+PLACED = 0.5
 
 # HTML element names by role.
 _RAW = frozenset("script style noscript template textarea title iframe select".split())
@@ -200,22 +205,26 @@ def _lengths(top: Node, units: set[int], article: bool) -> dict[int, tuple[int,
     return out
 
 
-def page_subtrees(text: str) -> dict[tuple[int, int], tuple[int, int, int]]:
-    """By (subtree, content it stands in) characters of the content, the subtree, and the subtree alone.
+def page_subtrees(text: str) -> dict[tuple[int, int], tuple[int, int, int, int, int]]:
+    """By (subtree, content it stands in) characters of the content, the subtree, and the subtree alone, and its places from the first and the last of its neighbours.
 
-    The content is the hash of the article, or of the page without one. Subtrees that are not in the text have no characters.
+    The content is the hash of the article, or of the page without one. Subtrees that are not in the text have no characters,
+    and those outside articles no place.
     """
     root = parse(text)
     found: list[Node] = []
     _hash(root, found)
     articles = _kept_articles(root)
     inside: dict[int, Node] = {}
+    place: dict[int, tuple[int, int]] = {}
     for a in articles:
         stack = [a]
         while stack:
             n = stack.pop()
             inside[id(n)] = a
-            stack.extend(c for c in n.children if not isinstance(c, str))
+            below = [c for c in n.children if not isinstance(c, str)]
+            place |= {id(c): (i, len(below) - 1 - i) for i, c in enumerate(below)}
+            stack.extend(below)
     whole = xxhash.xxh3_64_intdigest(repr([a.hash for a in articles])) - (1 << 63) if articles else root.hash
     tops = {id(a) for a in articles}
     found = [n for n in found if id(n) not in tops and not (id(n) in inside and n.tag in _PARTS)]
@@ -226,13 +235,13 @@ def page_subtrees(text: str) -> dict[tuple[int, int], tuple[int, int, int]]:
         got = _lengths(a, units, bool(articles))
         totals[a.hash] = totals.get(a.hash, 0) + got[id(a)][0]
         lengths |= got
-    out: dict[tuple[int, int], tuple[int, int, int]] = {}
+    out: dict[tuple[int, int], tuple[int, int, int, int, int]] = {}
     for n in found:
         a = inside.get(id(n), None if articles else root)
         content = a.hash if a else whole
         one, alone = lengths.get(id(n), (0, 0))
-        _, s, d = out.get((n.hash, content), (0, 0, 0))
-        out[n.hash, content] = (totals[content] if a else 0, s + one, d + alone)
+        _, s, d, *at = out.get((n.hash, content), (0, 0, 0, *place.get(id(n), (0, 0))))
+        out[n.hash, content] = (totals[content] if a else 0, s + one, d + alone, *at)
     return out
 
 
@@ -292,18 +301,18 @@ def templates(pages: DataFrame) -> DataFrame:
                 own = page_subtrees(text) if text else {}
                 host = _host(url)
                 found.extend((k, host, h, content, *n) for (h, content), n in own.items())
-            types = (pa.int64(), pa.string(), *[pa.int64()] * 5)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(types)], names=["k", "host", "h", "content", "total", "chars", "alone"])
+            types = (pa.int64(), pa.string(), *[pa.int64()] * 5, pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(types)], names=["k", "host", "h", "content", "total", "chars", "alone", "first", "last"])
 
     scratch = Scratch(pages.sparkSession, "subtrees")
-    rows = pages.mapInArrow(run, "k long, host string, h long, content long, total long, chars long, alone long")
+    rows = pages.mapInArrow(run, "k long, host string, h long, content long, total long, chars long, alone long, first int, last int")
     rows = scratch.save(rows.withColumn("host", F.xxhash64("host")))
 
     def recurring(df: DataFrame) -> DataFrame:
         return df.groupBy("host", "h").agg(F.count_distinct("content").alias("n")).where(F.col("n") >= MANY).select("host", "h")
 
     held = rows.join(recurring(rows), ["host", "h"], "left_semi")
-    held = scratch.save(held.groupBy("k", "host").agg(F.collect_set(F.struct("h", "content", "total", "chars", "alone")).alias("found")))
+    held = scratch.save(held.groupBy("k", "host").agg(F.collect_set(F.struct("h", "content", "total", "chars", "alone", "first", "last")).alias("found")))
     scratch.drop(rows)
 
     def evidence(x):
@@ -311,8 +320,15 @@ def templates(pages: DataFrame) -> DataFrame:
         shared = F.aggregate(F.filter("found", lambda y: y["content"] == x["content"]), F.lit(0).cast("long"), lambda n, y: n + y["alone"])
         return (x["chars"] == 0) | (x["total"] - shared >= OWN * (x["total"] - x["chars"]))
 
-    seen = held.select("host", F.explode(F.filter("found", evidence)).alias("x")).select("host", "x.h", "x.content")
-    common = scratch.save(recurring(seen))
+    seen = held.select("host", F.explode(F.filter("found", evidence)).alias("x")).select("host", "x.h", "x.content", "x.first", "x.last")
+    seen = scratch.save(seen.distinct())
+
+    def placed(at: str) -> DataFrame:
+        return seen.groupBy("host", "h", at).agg(F.count_distinct("content").alias("c")).groupBy("host", "h").agg(F.max("c").alias(f"by_{at}"))
+
+    counts = seen.groupBy("host", "h").agg(F.count_distinct("content").alias("n")).where(F.col("n") >= MANY)
+    counts = counts.join(placed("first"), ["host", "h"]).join(placed("last"), ["host", "h"])
+    common = scratch.save(counts.where(F.greatest("by_first", "by_last") >= PLACED * F.col("n")).select("host", "h"))
     rows = held.select("k", "host", F.explode("found.h").alias("h"))
     return scratch.save(rows.join(common, ["host", "h"], "left_semi").groupBy("k").agg(F.collect_set("h").alias("templates")))
 

@@ -326,6 +326,20 @@ def test_templates_inside_articles_are_removed_and_copies_kept(spark):
     assert all(got[k].startswith("\n\n".join(story)) for k in got if k >= 100)
 
 
+def test_lines_that_happen_to_recur_stay_in_articles(spark):
+    """One line at any place of many articles is their text; one always next to the last is the site's."""
+    r = random.Random(6)
+    words = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for k in range(120):
+        blocks = [words(15) for _ in range(12)]
+        blocks.insert(r.randrange(12), "So it goes.")
+        blocks.insert(len(blocks) - 1, "Read on with our letter")
+        rows.append((k, "http://a.example/x", "<body><article>" + "".join(f"<p>{b}</p>" for b in blocks) + "</article></body>"))
+    got = [x.text for x in html_extract.extracted(spark, spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()]
+    assert all("So it goes." in t and "Read on" not in t and t.count("\n\n") == 12 for t in got)
+
+
 def test_templates_do_not_depend_on_the_size_of_the_host(spark):
     r = random.Random(2)
     text = lambda: " ".join(f"w{r.randrange(10**6)}" for _ in range(20))
