@@ -122,6 +122,16 @@ def factorized(df: DataFrame, column: str, row_id: str, out: str) -> DataFrame:
     return df.join(codes, column, "left").withColumn(out, F.coalesce(out, F.lit(-1)))
 
 
+def matrix(df: DataFrame, row_id: str, columns: Sequence[str]) -> DataFrame:
+    """``row_id`` and these columns as numbers: text and times as codes by first appearance (-1 for null), truth values as 0 and 1, infinities null."""
+    out = df.select(row_id, *columns)
+    for c in columns:
+        kind = df.schema[c].dataType.typeName()
+        if kind in ("string", "timestamp", "timestamp_ntz", "date"):
+            out = factorized(out, c, row_id, f"_code_{c}").drop(c).withColumnRenamed(f"_code_{c}", c)
+    return out.select(row_id, *(finite_or_null(F.col(c).cast("double")).alias(c) for c in columns))
+
+
 def family(c: Column) -> Column:
     """The feature family of a column name."""
     def numbered(letter: str) -> Column:

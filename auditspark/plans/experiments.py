@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditspark.config import ABLATIONS, CONFIG, DAY, LADDER, UID_RECIPES, UNCONSTRAINED, Rung
-from auditspark.functions.scalar import assert_label_free, block_key, family
+from auditspark.functions.scalar import assert_label_free, block_key, family, matrix
 from auditspark.operators import entities as E
 from auditspark.operators import metrics as M
 from auditspark.operators import models as ML
@@ -35,6 +35,7 @@ class Prepared:
     blocks: Sequence[str] = ()
     plan: P.FoldPlan = field(default_factory=P.FoldPlan)
     rounds: int = 20
+    categorical: Sequence[str] = ()
     origin: int = 0
     tau: float = CONFIG.tau_days * DAY
 
@@ -77,6 +78,9 @@ def features(p: Prepared, f: Fold, latency: int, past_only: bool = True, drop: S
         # Regimes are mined from the training rows' patterns; every row has its nearest one.
         regimes = saved(R.retained(R.patterns(f.train, p.blocks)), "regimes")
         parts.append(R.assigned(flagged, p.blocks, regimes).select("row_id", "regime"))
+    if p.categorical:
+        # Codes are made within the fold; they carry no labels.
+        parts.append(matrix(flagged, "row_id", p.categorical))
     for part in parts:
         wide = wide.join(part, "row_id")
     names = [c for c in wide.columns if c not in ("row_id", "_train", "t", "entity", "y", "amount", "is_index")]

@@ -10,6 +10,7 @@ import zipfile
 from collections.abc import Iterable, Mapping
 from contextlib import contextmanager
 from io import StringIO
+from pathlib import Path
 
 import pandas as pd
 import pyspark
@@ -88,21 +89,60 @@ def _section(title: str, table: pd.DataFrame | None, most: int) -> str:
     return f"<section><h2>{html.escape(title)}</h2>{table.head(most).to_html(index=False, border=0)}{note}</section>"
 
 
+def key_figures(tables: Mapping[str, pd.DataFrame | None]) -> dict[str, float]:
+    """The report's headline numbers, each from a table; those whose table is missing are left out."""
+    out: dict[str, float] = {}
+
+    def mean(name: str, by: str, value: str = "auprc") -> pd.Series:
+        t = tables.get(name)
+        if t is None or not {by, value} <= set(t.columns):
+            return pd.Series(dtype=float)
+        return t.groupby(by)[value].mean().dropna()
+
+    rungs = mean("T1", "rung")
+    if len(rungs):
+        first, last = rungs.sort_index().iloc[0], rungs.sort_index().iloc[-1]
+        out |= {"auprc_all_leaks_open": first, "auprc_all_closed": last, "auprc_drop": first - last}
+        if first:
+            out["share_of_performance_lost"] = (first - last) / first
+    models = mean("T3", "model")
+    if len(models):
+        out["best_auprc_closed"] = models.max()
+    full = mean("T4", "ablation")
+    if "full" in full.index and len(full) > 1:
+        out["largest_ablation_cost"] = full["full"] - full.drop("full").min()
+    for name, column, key in (("T1b_attribution", "leakage_share_of_drop", "leakage_share_of_drop"), ("T6", "worst_drop", "worst_monotone_drop"), ("F3", "js", "largest_drift")):
+        t = tables.get(name)
+        if t is not None and column in t.columns and t[column].notna().any():
+            out[key] = t[column].max()
+    return {k: float(v) for k, v in out.items()}
+
+
 def build(tables: Mapping[str, DataFrame | None], title: str = "Leakage audit", most: int = 50) -> tuple[str, dict]:
-    """(HTML, summary) of small result tables; a missing one is a box that says so."""
+    """(HTML, summary) of small result tables with their key figures and pictures; a missing table is a box that says so."""
+    from auditspark.plans import figures
+
     small = {k: None if t is None else t.limit(most + 1).toPandas() for k, t in tables.items()}
-    summary = {"config": CONFIG.digest(), "tables": {k: None if t is None else json.loads(t.head(most).to_json(orient="records")) for k, t in small.items()}}
+    keys = key_figures(small)
+    summary = {"config": CONFIG.digest(), "key_figures": keys, "tables": {k: None if t is None else json.loads(t.head(most).to_json(orient="records")) for k, t in small.items()}}
     out = StringIO()
     out.write(f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>")
+    if keys:
+        out.write("<section><h2>Key figures</h2><ul>" + "".join(f"<li>{html.escape(k)}: {v:.4f}</li>" for k, v in keys.items()) + "</ul></section>")
     for k, t in small.items():
         out.write(_section(k, t, most))
+    for f in figures.FIGURES:
+        if (t := small.get(f.table)) is not None and (picture := figures.svg(f, t)):
+            out.write(f"<figure>{picture}</figure>")
     out.write("</body></html>")
     return out.getvalue(), summary
 
 
-def bundle(path: str, files: Iterable[tuple[str, bytes]]) -> list[str]:
-    """A ZIP of small files and their manifest."""
+def bundle(path: str, files: Iterable[tuple[str, bytes]], docs: str | None = None) -> list[str]:
+    """A ZIP of small files, of the text files of the folder ``docs`` under their names, and of the manifest."""
     names = []
+    if docs:
+        files = [*files, *((f"docs/{p.name}", p.read_bytes()) for p in sorted(Path(docs).glob("*.md")))]
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for name, data in files:
             z.writestr(name, data)

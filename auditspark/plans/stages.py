@@ -20,6 +20,7 @@ from auditspark.sources.shared import saved
 
 ATTRIBUTES = ("card1", "addr1", "P_emaildomain", "ProductCD")
 NUMERIC = ("log_amt", "amt_cents", "amt_is_round", "odd_hour", "dow", "dist1", "C1", "C14")
+CATEGORICAL = ("card4", "card6", "M1", "M2")
 #: A column of each service: it is missing with all of its service's columns.
 BLOCKS = ("V1", "V12", "V35", "V53", "V75", "V95", "D2")
 COUNTERS = tuple(f"C{i}" for i in range(1, 15))
@@ -50,7 +51,7 @@ def rows(spark: SparkSession, folder: str | None = None, entities: int = 3000, s
 
 
 def prepared(df: DataFrame) -> X.Prepared:
-    return X.Prepared(df, ATTRIBUTES, [c for c in NUMERIC if c in df.columns], [c for c in BLOCKS if c in df.columns])
+    return X.Prepared(df, ATTRIBUTES, [c for c in NUMERIC if c in df.columns], [c for c in BLOCKS if c in df.columns], categorical=[c for c in CATEGORICAL if c in df.columns])
 
 
 def _two(names: tuple[str, str], tables: tuple[DataFrame, DataFrame]) -> dict[str, DataFrame]:

@@ -12,7 +12,7 @@ from auditspark.operators import entities as E
 from auditspark.operators import protocol as P
 from auditspark.operators import risk as K
 from auditspark.plans import experiments as X
-from auditspark.plans import oracle, report
+from auditspark.plans import figures, oracle, report
 from auditspark.sources import adapters as A
 from auditspark.sources import readers, synthetic
 from auditspark.streaming import risk_stream
@@ -72,6 +72,25 @@ def test_report_comes_from_tables(spark, tmp_path):
     assert clock.table(spark).count() == 1 and report.environment(spark)["spark"] == spark.version
 
 
+def test_key_figures_and_pictures_come_from_tables(spark, tmp_path):
+    t1 = spark.createDataFrame([("rung0", 0.8), ("rung0", 0.6), ("rung4", 0.35), ("rung4", None)], "rung string, auprc double")
+    f3 = spark.createDataFrame([(0.0, 0.1), (7.0, 0.4)], "day_start double, js double")
+    page, summary = report.build({"T1": t1, "F3": f3, "T5": None})
+    keys = summary["key_figures"]
+    assert abs(keys["auprc_drop"] - 0.35) < 1e-9 and abs(keys["share_of_performance_lost"] - 0.5) < 1e-9 and keys["largest_drift"] == 0.4
+    assert page.count("<svg") == 2 and "Key figures" in page
+    pictures = figures.drawn({"T1": t1, "T3": None, "T4": t1})
+    assert set(pictures) == {"ladder"} and pictures["ladder"].count("<rect") == 2 and len(figures.FIGURES) == 9
+    (tmp_path / "a.md").write_text("words")
+    assert report.bundle(str(tmp_path / "c.zip"), [("report.html", page.encode())], str(tmp_path)) == ["report.html", "docs/a.md"]
+
+
+def test_matrix_codes_text_and_drops_infinities(spark):
+    rows = [(1, "b", True, 1.0), (2, None, None, float("inf")), (3, "a", False, None), (4, "b", True, -2.0)]
+    df = spark.createDataFrame(rows, "row_id long, c string, f boolean, v double")
+    assert sorted(map(tuple, S.matrix(df, "row_id", ["c", "f", "v"]).collect())) == [(1, 0.0, 1.0, 1.0), (2, -1.0, None, None), (3, 1.0, 0.0, None), (4, 0.0, 1.0, -2.0)]
+
+
 def prepared(spark) -> X.Prepared:
     o = E.index_events(A.with_day(A.sparse_orders(spark, SMALL)))
     o = S.with_time_and_amount(o.drop("day")).select("row_id", "t", "day", "entity", "y", "amount", "is_index", "priority", "nation", "dow", "log_amt", "a", "c", "d").persist()
