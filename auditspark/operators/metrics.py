@@ -106,9 +106,11 @@ def time_to_detection(rows: DataFrame, budget: float = CONFIG.budget) -> DataFra
         F.avg(F.col("detected").cast("double")).alias("ttd_detected_share"),
         F.avg((F.col("txn") < 0).cast("double")).alias("ttd_early_share"),
     )
-    for column in ("txn", "hours"):
-        out = out.crossJoin(F.broadcast(quantile(lead, 0.5, column, out=f"ttd_median_{column}")))  # single rows
-    return out
+    # Both medians from one pass over (name, value) rows.
+    each = lead.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in ("txn", "hours")))).alias("x")).select("x.*")
+    medians = quantile(each, 0.5, "value", ["name"])
+    medians = medians.agg(*(F.max(F.when(F.col("name") == c, F.col("threshold"))).alias(f"ttd_median_{c}") for c in ("txn", "hours")))
+    return out.crossJoin(F.broadcast(medians))  # two single rows
 
 
 def budget_recall(rows: DataFrame, budget: float = CONFIG.budget, seed: int = 0, tie: Column | None = None) -> DataFrame:
