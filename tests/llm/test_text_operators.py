@@ -411,6 +411,49 @@ def test_suffix_array_and_prefixes(text):
             assert (phi[p], common[p]) == (q, n)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.binary(max_size=20).map(lambda b: bytes((0, 10, 97)[x % 3] for x in b)), min_size=1, max_size=8))
+def test_suffixes_of_segments_tie_at_separators(parts):
+    data = np.frombuffer(b"\n".join(parts), np.uint8)
+    size = np.array([len(p) for p in parts])
+    end = np.cumsum(size + 1) - 1
+    sa = induced.suffix_array(data, end[:-1])
+    assert sorted(sa.tolist()) == list(range(len(data)))
+    rest = [p[k:] for p in parts for k in range(len(p) + 1)][: len(data)]
+    apart = set(end[:-1].tolist())
+    got = [rest[i] for i in sa.tolist() if i not in apart]
+    assert got == sorted(got)
+    if len(data):
+        ends, at = np.repeat(end, size + 1)[: len(data)], np.array([i for i in range(len(data)) if i not in apart], np.int64)
+        phi, common = induced.permuted_lcp(data, sa, ends, at, 5)
+        for least in (1, 3, 5):
+            again, reached = induced.permuted_lcp(data, sa, ends, at, 5, least)
+            assert again.tolist() == phi.tolist() and reached.tolist() == np.where(common >= least, common, 0).tolist()
+
+
+def test_work_of_the_suffix_array_a_byte(monkeypatch):
+    r = random.Random(5)
+    kinds = [bytes(r.choice(b"abcdefgh \n") for _ in range(600)) for _ in range(40)]
+    parts = [k for k in kinds for _ in range(12)]
+    work = Counter()
+    sort, raw = np.argsort, B.ByteHash.raw
+
+    def counted_sort(a, *args, **kw):
+        # Keys of 16 bits are sorted by their digits.
+        work["compared"] += a.size if a.dtype.itemsize > 2 else 0
+        return sort(a, *args, **kw)
+
+    def counted_raw(self, start, end):
+        work["hashed"] += len(start)
+        return raw(self, start, end)
+
+    monkeypatch.setattr(np, "argsort", counted_sort)
+    monkeypatch.setattr(B.ByteHash, "raw", counted_raw)
+    assert suffix_dedup.repeated_windows(parts, 400) == [(i, 0, 200) for i in range(len(parts))]
+    size = sum(map(len, parts))
+    assert work["compared"] < 4 * size and work["hashed"] < 2 * size, {k: v / size for k, v in work.items()}
+
+
 def test_hashes_tell_ranges_apart():
     c = B.Chunk([b"abc abd", b"abc", b""], lower=True)
     start, end, doc = c.words(B.NOT_SPACE)
